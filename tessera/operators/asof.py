@@ -140,7 +140,7 @@ def _shard(cuts: dict[str, list[int]]):
         throughout = {key: _Throughout(len(c) + 1) for key, c in cuts.items()}
         for batch in batches:
             is_hot = pc.is_in(batch.column(0), value_set=hot)
-            yield batch.filter(pc.invert(is_hot))
+            yield pa.RecordBatch.from_arrays(batch.filter(pc.invert(is_hot)).columns, schema=ARROW)
             rows = []
             for key, _, tag, known, starts, ends, number, value in zip(*(c.to_pylist() for c in batch.filter(is_hot).columns)):
                 active = starts if tag == EVENT else max(starts, -(-known // 1_000_000))
