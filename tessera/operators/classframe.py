@@ -72,6 +72,8 @@ class ClassFrame:
         self.tag = f"f{next(_serial)}_"
         self.types: dict[str, T.DataType] = {}
         self._deriving: list[str] = []
+        #: Whether every row is an individual; beside requests, a row may have no source at all.
+        self.certain = True
         self._made: dict[str, tuple[Value, Column]] = {}
         self._index = {s: i for i, s in enumerate(self.cls.sources)}
         self.df = self._align(identity, required)
@@ -144,7 +146,7 @@ class ClassFrame:
     def present(self, source: str) -> Column:
         if source not in self._index:
             raise Rejected(f"{self.cls.name}: there is no source {source!r}")
-        return F.lit(True) if len(self._index) == 1 else F.col(f"{self.tag}s_{self._index[source]}")
+        return F.lit(True) if len(self._index) == 1 and self.certain else F.col(f"{self.tag}s_{self._index[source]}")
 
     def exists(self) -> Column:
         return some([F.col(f"{self.tag}s_{i}") for i in self._index.values()])
@@ -276,7 +278,7 @@ class ClassFrame:
             return self.condition(value, condition, p.type == "date", source)
         value, defined = self.value(name)
         test = self.condition(value, condition, p.type == "date")
-        alone = len(self._index) == 1 and p.derived is None
+        alone = len(self._index) == 1 and self.certain and p.derived is None
         return test if alone else defined & test
 
     def predicate(self, filter_: dict, source: str | None = None) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.actions import Batch, bind_action, waves
 from tessera.operators.classframe import Binding
+from tessera.plans.errors import Rejected
 from tessera.plans.model import Model, Source
 from tessera.plans.query import MOST_ROWS, Result, run_query
 from tessera.plans.validate import check_model
-from tessera.sources.catalog import Sources
+from tessera.sources.catalog import Sources, frames
 
 
 class Engine:
@@ -38,3 +41,35 @@ class Engine:
     def rows(self, request: dict) -> DataFrame:
         """All rows of a request, without the limit of the request interface."""
         return self.query(request, most=None).df
+
+    def plan_actions(self, cls: str, action: str, requests: DataFrame) -> Batch:
+        """Checks and plans a batch of requests; changes nothing."""
+        return bind_action(self.binding(), cls, action, requests)
+
+    def run_actions(self, cls: str, action: str, requests: DataFrame, most_waves: int = 100) -> tuple[Engine, list[Batch]]:
+        """Plans and applies a batch, in waves where an identity repeats; an engine over the changed tables, and the batches."""
+        ordered, engine, done = waves(requests), self, []
+        last = ordered.agg({"wave": "max"}).first()[0] or 0
+        if last > most_waves:
+            raise Rejected(f"one identity has {last} requests; a batch may have {most_waves}")
+        for n in range(1, last + 1):
+            batch = engine.plan_actions(cls, action, ordered.where(ordered.wave == n).drop("wave"))
+            done.append(batch)
+            engine = engine.with_tables(batch.apply())
+        return engine, done
+
+    def with_tables(self, tables: dict[tuple[str, str], DataFrame]) -> Engine:
+        """The same model over other tables."""
+        sources = Sources(self.spark)
+        for name, held in self.sources.connections.items():
+            mine = {t: df for (c, t), df in tables.items() if c == name}
+            if not mine:
+                sources.register(name, held)
+                continue
+            changed = frames(mine)
+            sources.register(name, type(held)(lambda t, held=held, mine=mine, changed=changed: changed.read(t) if t in mine else held.read(t), held.names, held.comments, held.unique, held.primary))
+        return Engine(self.spark, self.model, sources=sources, clock=self.clock)
+
+    @staticmethod
+    def ledger(batches: list[Batch]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [b.ledger() for b in batches])

@@ -113,7 +113,7 @@ def compare(a: Value, op: str, e: Value | list[Value], date: bool) -> Column:
         return (a.missing & e.missing) | _same(a, e)
     if op == "ne":
         if e.constant:
-            return a.column.isNotNull() if e.literal is None else a.column.isNull() | ~_same(a, e)
+            return a.column.isNotNull() if e.literal is None else a.column.isNull() | (~_same(a, e) if a.kind == e.kind else ~two_valued(_same(a, e)))
         return ~((a.missing & e.missing) | two_valued(_same(a, e)))
     if op == "contains":
         if e.literal is None and e.constant:
