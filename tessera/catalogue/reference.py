@@ -10,7 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalogue.retail import engine
+from tessera.catalogue.retail import MODEL, NOW, engine
+from tessera.catalogue.tables import read
+from tessera.functions.masking import masked
+from tessera.functions.normalize import BY_NAME
+from tessera.operators import integrate
+from tessera.plans import verdict
+from tessera.plans.acceptance import RETAIL_PACK, run_pack
+from tessera.plans.engine import Engine
+from tessera.plans.model import Model, lineage
+from tessera.sources.catalog import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,5 +128,113 @@ _add("expand_empty", {"object": "customer", "properties": ["customer_key"], "exp
      "select c_custkey as customer_key, (select count(*) from orders where o_custkey = c_custkey and o_totalprice > 499000)::int as n from customer",
      lambda df: df.select("customer_key", F.size("orders").alias("n")))
 _add("flagship_shipped_orders", {"object": "order", "properties": ["order_key", "total", "shipped_on"], "filter": {"stage": "shipped"}, "expand": [{"relation": "placed_by", "properties": ["name", "segment"]}]},
-     f"with {_ORDERS} select order_key, total, shipped_on, c_name as name, c_mktsegment as segment from aligned left join customer on customer_key = c_custkey where stage = 'shipped'",
-     lambda df: df.select("order_key", "total", "shipped_on", F.inline_outer("placed_by")))
+     f"with {_ORDERS} select order_key, total, strftime(shipped_on, '%Y-%m-%d') as shipped_on, c_name as name, c_mktsegment as segment from aligned left join customer on customer_key = c_custkey where stage = 'shipped'",
+     lambda df: df.select("order_key", "total", F.date_format("shipped_on", "yyyy-MM-dd").alias("shipped_on"), F.inline_outer("placed_by")))
+
+
+def _frame(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+def _overlap(a: str, b: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, at: integrate.overlap(engine(spark, at), a, b)
+
+
+def _overlap_sql(a: str, b: str, from_a: str, from_b: str, rule: str) -> str:
+    return f"""with a as (select distinct v from ({from_a}) where v is not null), b as (select distinct v from ({from_b}) where v is not null)
+    select '{a}' as class_a, '{b}' as class_b, '{rule}' as norm_rule, (select count(*) from a) as count_a, (select count(*) from b) as count_b,
+    (select count(*) from a join b using (v)) as count_hit,
+    (select count(*) from a join b using (v))::double / greatest((select count(*) from a), (select count(*) from b)) as rate"""
+
+
+_frame("overlap_customers_and_suppliers", _overlap("customer", "supplier"), _overlap_sql("customer", "supplier", "select c_custkey::varchar as v from customer", "select s_suppkey::varchar as v from supplier", "plain"))
+_frame("overlap_over_sources", _overlap("order", "order_line"), _overlap_sql("order", "order_line", "select o_orderkey::varchar as v from orders union all select l_orderkey::varchar from lineitem", "select l_orderkey::varchar as v from lineitem", "plain"))
+_SERIAL = "upper(regexp_replace({0}, '[-\\s\\pZ]', '', 'g'))"
+_frame("overlap_normalised", lambda spark, at: integrate.overlap_counts(integrate.texts(read(spark, at, "device"), "serial_no"), integrate.texts(read(spark, at, "repair"), "serial_no"), BY_NAME["serial"]),
+       "with " + f"""a as (select distinct {_SERIAL.format('serial_no')} as v from device where regexp_matches(serial_no, '[^\\s\\pZ]')), b as (select distinct {_SERIAL.format('serial_no')} as v from repair where regexp_matches(serial_no, '[^\\s\\pZ]'))
+       select 'serial' as norm_rule, (select count(*) from a) as count_a, (select count(*) from b) as count_b, (select count(*) from a join b using (v)) as count_hit,
+       (select count(*) from a join b using (v))::double / greatest((select count(*) from a), (select count(*) from b)) as rate""")
+_frame("key_trial", lambda spark, at: integrate.key_trial(engine(spark, at), "customer", ["supplier"]).where("candidate = 'customer_key' and mate_key = 'supplier_key'").drop("hard"),
+       """select 'customer_key' as candidate, count(*) as rows, count(distinct c_custkey) as distinct_values, count(*) = count(distinct c_custkey) as unique_in_each, 'supplier' as mate, 'supplier_key' as mate_key,
+       (select count(*) from (select distinct c_custkey from customer) join (select distinct s_suppkey from supplier) on c_custkey = s_suppkey) as hits from customer""")
+for _rule, _sql in (("serial", _SERIAL.format("serial_no")), ("email", "lower(regexp_replace(serial_no, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'))"), ("phone", "regexp_replace(regexp_replace(serial_no, '[-\\s\\pZ]', '', 'g'), '^\\+?86', '', 'g')")):
+    _frame(f"normalise_{_rule}", lambda spark, at, rule=_rule: read(spark, at, "device").select("dev_id", BY_NAME[rule].column(F.col("serial_no")).alias("normalised")), f"select dev_id, {_sql} as normalised from device")
+_frame("mask", lambda spark, at: read(spark, at, "customer").select("c_custkey", masked(F.col("c_name")).alias("c_name")), "select c_custkey, case when length(c_name) <= 6 then '******' else substring(c_name, 1, 4) || '******' || right(c_name, 2) end as c_name from customer")
+_frame("lineage", lambda spark, at: spark.createDataFrame([(x["object"], x["property"], x["table"], x["column"]) for x in lineage(engine(spark, at).model)], "object string, property string, table string, column string"), None)
+_frame("acceptance_pack", lambda spark, at: spark.createDataFrame([(o.question, o.ok) for o in run_pack(engine(spark, at), RETAIL_PACK)], "question string, ok boolean"),
+       "select * from (values " + ", ".join(f"('{q['question']}', true)" for q in RETAIL_PACK) + ") as t(question, ok)")
+
+
+def _split() -> dict:
+    """Header and shipment of an order as two classes, to be merged again."""
+    order = MODEL["object_types"]["order"]
+    parts = {"header": ("header", ["order_key", "customer_key", "total"]), "shipment": ("shipment", ["order_key", "shipped_on", "return_flag"])}
+    return {"object_types": {n: {"kind": "event", "identity": "order_key", "properties": {p: order["properties"][p] for p in ps}, "sources": {s: order["sources"][s] | {"fields": {p: order["sources"][s]["fields"][p] for p in ps}}}} for n, (s, ps) in parts.items()}, "link_types": {}}
+
+
+def _merged(choice: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, at: str) -> DataFrame:
+        model = verdict.apply_verdict(Model.parse(_split()), "header", "shipment", choice, {"from": "placed", "to": "shipped"})
+        made = Engine(spark, model, clock=lambda: NOW)
+        made.sources.register("retail", files(spark, at))
+        return made.rows({"object": "header", "properties": ["order_key", "total", "return_flag"] + (["status"] if choice == verdict.STAGE else [])})
+
+    return run
+
+
+_frame("merged_same", _merged(verdict.SAME), f"with {_ORDERS} select order_key, total, return_flag from aligned")
+_frame("merged_stage", _merged(verdict.STAGE), f"with {_ORDERS} select order_key, total, return_flag, case when header and not shipment then 'placed' when shipment then 'shipped' end as status from aligned")
+
+# Actions over whole tables: one request per order or customer.
+_ACTIONS = {
+    "order": {
+        "raise_priority": {"pre": {"stage": "placed", "priority": {"ne": {"property": "priority", "from": "request"}}}, "effect": [{"update": {"object": "order", "identity": {"from": "identity"}, "properties": {"priority": {"from": "request"}, "total": "current.total+1"}}}]},
+        "cancel": {"pre": {"stage": "placed"}, "effect": [{"delete": {"object": "order", "identity": {"from": "identity"}}}]},
+        "muddle": {"effect": [{"update": {"object": "order", "identity": {"from": "identity"}, "properties": {"order_status": s}}} for s in ("F", "O")]},
+        "ship": {"pre": {"stage": "placed"}, "effect": [{"link": "fulfilled"}]},
+    },
+    "customer": {"open_account": {"effect": [{"create": {"object": "supplier", "properties": {"supplier_key": {"from": "identity"}, "name": "new", "nation_key": 1, "balance": 0.0}}}]}},
+}
+
+
+def _acting(spark: SparkSession, at: str) -> Engine:
+    model = Model.parse(MODEL).to_dict()
+    for cls, actions in _ACTIONS.items():
+        model["object_types"][cls]["actions"] = actions
+    made = Engine(spark, model, clock=lambda: NOW)
+    made.sources.register("retail", files(spark, at))
+    return made
+
+
+def _requests(spark: SparkSession, at: str, table: str, key: str) -> DataFrame:
+    return read(spark, at, table).select(F.col(key).alias("request_id"), F.col(key).alias("identity"), F.lit("1-URGENT").alias("priority"))
+
+
+def _action_after(action: str, shown: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, at: str) -> DataFrame:
+        batch = _acting(spark, at).plan_actions("order", action, _requests(spark, at, "orders", "o_orderkey"))
+        return batch.apply()["retail", "orders" if action != "ship" else "lineitem"].selectExpr(*shown.split("; "))
+
+    return run
+
+
+_PLACED = "o_orderkey not in (select l_orderkey from lineitem where l_orderkey is not null)"
+_frame("action_update", _action_after("raise_priority", "o_orderkey; o_orderpriority; round(o_totalprice, 4) as o_totalprice"),
+       f"select o_orderkey, case when {_PLACED} then '1-URGENT' else o_orderpriority end as o_orderpriority, round(case when {_PLACED} and o_orderpriority <> '1-URGENT' then o_totalprice + 1 else o_totalprice end, 4) as o_totalprice from orders")
+_frame("action_delete", _action_after("cancel", "o_orderkey; o_custkey"), f"select o_orderkey, o_custkey from orders where not ({_PLACED})")
+_frame("action_link", _action_after("ship", "l_orderkey; l_linenumber; l_returnflag"), f"select l_orderkey, l_linenumber, l_returnflag from lineitem union all select o_orderkey, null, null from orders where {_PLACED}")
+_frame("action_create_ledger", lambda spark, at: _acting(spark, at).plan_actions("customer", "open_account", _requests(spark, at, "customer", "c_custkey")).ledger().groupBy("object", "op", "outcome").count().withColumnRenamed("count", "n"),
+       "select 'supplier' as object, 'insert' as op, case when s_suppkey is null then 'applied' else 'already' end as outcome, count(*) as n from customer left join supplier on s_suppkey = c_custkey group by 3")
+_frame("action_conflict", lambda spark, at: _conflicts(spark, at), f"select o_orderkey % 2 = 0 as even, case when o_orderkey % 2 = 0 then 'conflict' else 'applied' end as outcome, count(*) as n from orders where {_PLACED} and o_orderpriority <> '1-URGENT' group by 1, 2")
+_frame("action_rejected", lambda spark, at: _acting(spark, at).plan_actions("order", "raise_priority", _requests(spark, at, "orders", "o_orderkey")).rejected.select("request_id", "stage"), f"select o_orderkey as request_id, 'pre' as stage from orders where not ({_PLACED} and o_orderpriority <> '1-URGENT')")
+_frame("axiom_mutex", lambda spark, at: _acting(spark, at).plan_actions("order", "muddle", _requests(spark, at, "orders", "o_orderkey")).rejected.groupBy("stage").count().withColumnRenamed("count", "n"), "select 'axiom' as stage, count(*) as n from orders")
+
+
+def _conflicts(spark: SparkSession, at: str) -> DataFrame:
+    """The ledger of an update whose even orders were changed after it was planned."""
+    batch = _acting(spark, at).plan_actions("order", "raise_priority", _requests(spark, at, "orders", "o_orderkey"))
+    now = read(spark, at, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") * 2 + 7).otherwise(F.col("o_totalprice")))
+    batch.table = lambda source: now
+    return batch.ledger().groupBy((F.col("key").cast("long") % 2 == 0).alias("even"), "outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -52,6 +52,7 @@ MODEL = {
         ),
         "line": _class("event", None, _props("order_key number part_key number supplier_key number line_no number quantity number price number discount number tax number return_flag enum line_status enum shipped_on date"),
                        {"base": _table("lineitem", "order_key l_orderkey part_key l_partkey supplier_key l_suppkey line_no l_linenumber quantity l_quantity price l_extendedprice discount l_discount tax l_tax return_flag l_returnflag line_status l_linestatus shipped_on l_shipdate")}, rows_only=True),
+        "order_line": _class("thing", "order_key", _props("order_key number"), {"base": _table("lineitem", "order_key l_orderkey", order_by=_LINE_ORDER)}),
         "account": _class(
             "thing", "account_key",
             _props("account_key number name string user number last_event string active_since date",
