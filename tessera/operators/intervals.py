@@ -7,8 +7,8 @@ The work is done in three steps, none of which gathers an entity in one place:
 
 1. *combine*: each task keeps the maps of the entities it meets and hands out merged intervals only, cut at the edges of
    fixed time slots. A hot entity leaves a task as its few disjoint pieces, not as its rows.
-2. *merge*: pieces are shuffled by entity **and slot**; each task inserts a slot's pieces, in any order, in the map
-   that is its keyed state. A slot has whole seconds only, so no state outgrows half its width.
+2. *merge*: pieces are shuffled by entity **and slot**; each task inserts a slot's pieces in the map that is its keyed
+   state. A slot has whole seconds only, so no state outgrows half its width.
 3. *stitch*: only the first and last piece of each slot meet per entity, at most two per slot, in a window.
 
 Defined results: rows with a null key, a null start or an end not after its start are no intervals; a null end is open
@@ -32,7 +32,7 @@ OPEN = 1 << 62
 #: after the last start in the data (nothing can be uncovered there), so an open interval has few parts too.
 SLOT_BITS, SLOTS_FROM, SLOTS_TO = 24, 1 << 30, 1 << 31
 #: A task hands out its maps when they hold so many entities or intervals.
-FLUSH_ENTITIES, FLUSH_PIECES, ROWS_OUT = 100_000, 400_000, 20_000
+FLUSH_ENTITIES, FLUSH_PIECES, ROWS_OUT = 100_000, 200_000, 20_000
 
 GAP, INNER, EDGE = 0, 1, 2
 
@@ -189,7 +189,9 @@ def _pieces(df: DataFrame, keys: list[str], start: Column, end: Column, slot_bit
     horizon = min(rows.agg(F.max("__lo")).first()[0] or 0, SLOTS_TO)
     sliced = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("__slot", "__lo", "__hi"))])
     parts = rows.mapInArrow(_combine(_arrow(fields, ("__slot", pa.int64()), ("__lo", pa.int64()), ("__hi", pa.int64())), len(keys), slot_bits, horizon), sliced)
-    parts = parts.repartition(*keys, "__slot").sortWithinPartitions(*keys, "__slot")
+    # By start within a slot, so that an insertion, though still found by search, lands at the end of its map and moves
+    # nothing; the last key first, as it tells most.
+    parts = parts.repartition(*keys, "__slot").sortWithinPartitions(*reversed(keys), "__slot", "__lo")
     kinds = T.StructType([*fields, T.StructField("__slot", T.LongType()), T.StructField("__kind", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("__lo", "__hi"))])
     return parts.mapInArrow(_merge(_arrow(fields, ("__slot", pa.int64()), ("__kind", pa.int32()), ("__lo", pa.int64()), ("__hi", pa.int64())), len(keys) + 1), kinds)
 
