@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.lexicon import Builder, Lexicon
-from tessera.plans.shared import ensure_checkpoint_dir
+from tessera.plans.shared import cut, ensure_checkpoint_dir
 
 #: Where the vocabulary files are, and which one is used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -34,6 +34,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words in the lexicon at most, and the longest word it takes, in bytes. Neither changes any result.
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
+#: Buckets of word counts for each doubling.
+BUCKETS = 16
 #: Characters of text worked on at a time.
 CHARACTERS = 4_000_000
 
@@ -112,9 +114,20 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The words that occur most often in all texts; ``most`` at most reach the driver."""
-    counts = texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The words that occur most often in all texts, ``most`` at most.
+
+    A histogram of counts (a few hundred buckets) gives the count from which on few enough words are left, so that the
+    driver gets those and no partition has to send it a ranking of its own.
+    """
+    words = texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_count_words, "word string, n long")
+    counts = cut(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("bucket", F.floor(F.log2("n") * BUCKETS).cast("int")))
+    left, least = most, None
+    for bucket, n in counts.groupBy("bucket").count().orderBy(F.desc("bucket")).collect():
+        left -= n
+        if left < 0:
+            break
+        least = bucket
+    return [] if least is None else [r[0] for r in counts.where(F.col("bucket") >= least).select("word").collect()]
 
 
 def compile_lexicon(words: Iterable[str], encode: Callable[[str], list[int]]) -> bytes:
