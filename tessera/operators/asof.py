@@ -11,7 +11,8 @@ search, then descends from the right to the first fact that is still valid.
 Most entities are one shard. A hot entity is split by time at quantiles of its own rows, so that no task holds more
 than ``shard_rows`` rows of it or so: an event goes to the shard of its time; a fact goes to the shards where it becomes
 active and where it ends; of the facts active throughout a shard only the one with the latest valid_from can ever be
-chosen there, so tasks keep that one per shard (a range maximum) and send no others.
+chosen there, so tasks keep that one per shard (a range maximum) and send no others. The thousand largest entities are
+split at most; any other is one shard, with less than a thousandth of all rows.
 
 Defined results: facts with a null key, attribute, valid_from or known time, or that end before they start, are never
 chosen; a null valid_to is open; events with a null key, time or id have no row; facts with equal valid_from rank by

@@ -31,8 +31,9 @@ OPEN = 1 << 62
 #: Seconds in a slot, as a power of two (about 194 days). Times before 2004 share one slot, and so do those after 2038 or
 #: after the last start in the data (nothing can be uncovered there), so an open interval has few parts too.
 SLOT_BITS, SLOTS_FROM, SLOTS_TO = 24, 1 << 30, 1 << 31
-#: A task hands out its maps when they hold so many entities or intervals.
-FLUSH_ENTITIES, FLUSH_PIECES, ROWS_OUT = 100_000, 200_000, 20_000
+#: A task hands out its maps when they hold so many entities or intervals, and any map that outgrows the last figure, as
+#: insertions in random order would get slow.
+FLUSH_ENTITIES, FLUSH_PIECES, FLUSH_MAP, ROWS_OUT = 100_000, 200_000, 10_000, 20_000
 
 GAP, INNER, EDGE = 0, 1, 2
 
@@ -124,11 +125,14 @@ def _combine(schema: pa.Schema, n_keys: int, bits: int, horizon: int):
         maps: dict[tuple, IntervalMap] = {}
         pieces, out = 0, _Out(schema)
 
+        def hand_out(key, held):
+            for lo, hi in held.periods():
+                for part in _cut(lo, hi, bits, horizon):
+                    out.add(*key, *part)
+
         def flush():
             for key, held in maps.items():
-                for lo, hi in held.periods():
-                    for part in _cut(lo, hi, bits, horizon):
-                        out.add(*key, *part)
+                hand_out(key, held)
                 if out.full():
                     yield out.take()
             maps.clear()
@@ -141,7 +145,12 @@ def _combine(schema: pa.Schema, n_keys: int, bits: int, horizon: int):
                     held = maps[key] = IntervalMap()
                 pieces -= len(held.starts)
                 held.add(lo, hi)
-                pieces += len(held.starts)
+                if len(held.starts) > FLUSH_MAP:
+                    hand_out(key, maps.pop(key))
+                else:
+                    pieces += len(held.starts)
+            if out.full():
+                yield out.take()
             if len(maps) > FLUSH_ENTITIES or pieces > FLUSH_PIECES:
                 yield from flush()
                 pieces = 0

@@ -77,8 +77,9 @@ def _metric(frame: ClassFrame, op: str, of: str) -> Column:
         return F.count(F.lit(1) if of == "*" else F.when(frame.value(of)[1], frame.value(of)[0].column)).alias(name)
     value, defined = frame.value(of)
     if value.kind != "number":
+        frame.binding.notes.append(f"{of} is no number and takes no part in {op}")
         # Only numbers take part: a sum of none is 0, the others have no value.
-        return F.first(F.lit(0.0) if op == "sum" else F.lit(None).cast("double")).alias(name)
+        return (F.coalesce(F.max(F.lit(0.0)), F.lit(0.0)) if op == "sum" else F.max(F.lit(None).cast("double"))).alias(name)
     number = F.when(defined, value.column)
     found = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[op](number)
     return (F.coalesce(found, F.lit(0)) if op == "sum" else found).alias(name)

@@ -194,6 +194,30 @@ class Sources:
         return df.select(*(mask(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
+def save_tables(tables: dict[tuple[str, str], DataFrame], folders: dict[str, str], format: str = "parquet") -> list[str]:
+    """Writes changed tables (see ``Batch.apply``) back to their folders, by connection name; gives what was written.
+
+    A table is written beside the old one and takes its place when it is whole, so a failed job leaves the old one, and a
+    table can be computed from the one it replaces. Folders are reached through Hadoop's file system, whatever it is.
+    """
+    done = []
+    for (connection, table), df in tables.items():
+        if connection not in folders:
+            raise SourceFault(f"nothing says where {connection!r} is")
+        at = f"{folders[connection]}/{table}.{format}"
+        df.write.format(format).mode("overwrite").save(f"{at}.next")
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(at).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(f"{at}.last"), True)
+        if fs.exists(path(at)):
+            fs.rename(path(at), path(f"{at}.last"))
+        fs.rename(path(f"{at}.next"), path(at))
+        fs.delete(path(f"{at}.last"), True)
+        done.append(at)
+    return done
+
+
 def discover(folder: str) -> list[tuple[str, str]]:
     """Database files in a folder that could be connected, with legal names for them."""
     found, taken = [], set()

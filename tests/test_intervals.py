@@ -70,6 +70,18 @@ def test_nulls_ties_open_ends_and_clashing_names(spark):
     assert rows(interval_periods(df, ["k"], F.col("lo"), F.col("hi"))) == [("a", 10, 30), ("a", 31, None), ("c", -5, 3), ("c", 4, 5_000_000_000), ("c", 6_000_000_000, 6_000_000_001)]
 
 
+def test_maps_are_handed_out_early(spark, monkeypatch):
+    from tessera.operators import intervals
+
+    for name in ("FLUSH_ENTITIES", "FLUSH_PIECES", "FLUSH_MAP", "ROWS_OUT"):
+        monkeypatch.setattr(intervals, name, 3)
+    rng = random.Random(9)
+    data = [(rng.choice("ab"), lo := rng.randrange(3_000), lo + rng.randrange(1, 5)) for _ in range(800)]
+    df = spark.createDataFrame(data, "k string, lo long, hi long").repartition(3)
+    want = sorted(((k, *p) for k in "ab" for p in brute([(lo, hi) for x, lo, hi in data if x == k])), key=repr)
+    assert rows(interval_periods(df, ["k"], F.col("lo"), F.col("hi"))) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, lo long, hi long")
     assert rows(interval_gaps(df, ["k"], F.col("lo"), F.col("hi"))) == rows(interval_periods(df, ["k"], F.col("lo"), F.col("hi"))) == []
