@@ -25,5 +25,5 @@ def usable_interval(code: Column, start: Column, end: Column) -> Column:
 
 
 def utc_month(ts: Column) -> Column:
-    """Month of a timestamp as yyyy-MM; the session runs in UTC."""
-    return F.date_format(ts, "yyyy-MM")
+    """UTC month of a timestamp as yyyy-MM, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM")

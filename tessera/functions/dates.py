@@ -61,9 +61,12 @@ def request_literal(value, clock: Clock):
 
 def iso_column(c: Column) -> Column:
     """UTC seconds of a text column's ISO dates; null where the text is none."""
-    return F.when(c.rlike(ISO_START), F.unix_seconds(F.try_to_timestamp(c)))
+    at = F.try_to_timestamp(c)
+    # A text without a zone was read in the session's; it means UTC.
+    zoned = c.rlike(r"([Zz]|[+-]\d{2}:?\d{2})$") & (F.length(c) > 10)
+    return F.when(c.rlike(ISO_START), F.unix_seconds(F.when(zoned, at).otherwise(F.from_utc_timestamp(at, F.current_timezone()))))
 
 
 def format_utc(seconds: Column, pattern: str) -> Column:
     """UTC seconds in a pattern of yyyy, MM, dd, HH, mm and ss."""
-    return F.date_format(F.timestamp_seconds(seconds), pattern)
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), pattern)

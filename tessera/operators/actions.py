@@ -219,9 +219,14 @@ class Planner:
                 pairs.append((key, self.value(operand if operand["from"] == "request" else {"from": "identity"}, key, None)))
             else:
                 rest[key] = test
-        if not pairs:
-            raise Rejected("the filter of an effect compares a property with a value of the request")
         frame.where(rest)
+        if not pairs:
+            # The same individuals for every request: they go with the first one, read as one value, not joined.
+            first = requests.agg(F.min(F.struct(*requests.columns)).alias("first")).scalar()
+            frame.df = frame.df.withColumn("__first", first).where(F.col("__first").isNotNull())
+            frame.df = frame.df.withColumns({c: F.col("__first")[c] for c in requests.columns}).drop("__first")
+            frame.shared = True
+            return frame
         on = []
         for i, (key, value) in enumerate(pairs):
             requests = requests.withColumn(f"__pair_{i}", value)
@@ -293,6 +298,9 @@ class Planner:
                         continue
                     tests.append(there)
                     for p, condition in test.items():
+                        if p.startswith("$"):
+                            tests.append(accepted.predicate({p: condition}, source))
+                            continue
                         own = accepted.from_source(source, p)
                         trial = Value(own.kind, F.when(here[source], own.column).otherwise(values[p].cast(accepted.types[f"{source}.{p}"]))) if source == s.name else own
                         tests.append(accepted.condition(trial, condition, cls.properties[p].type == "date", source))
@@ -340,7 +348,10 @@ class Planner:
             else:
                 made, target = (self.update if kind == "update" else self.delete)(spec, frame)
                 exists = target.df.where(target.exists())
-                missing = frame.df.select(REQUEST).join(exists.select(REQUEST), REQUEST, "left_anti")
+                if getattr(target, "shared", False):
+                    missing = frame.df.select(REQUEST).where(exists.agg(F.count(F.lit(1))).scalar() == 0)
+                else:
+                    missing = frame.df.select(REQUEST).join(exists.select(REQUEST), REQUEST, "left_anti")
                 rejected.append(missing.select(REQUEST, F.lit("effect").alias("stage"), F.lit(f"there is no {spec['object']} to {kind}").alias("reason")))
                 lines.append((kind, spec["object"], n, exists.select(REQUEST, target.key.cast("string").alias("target"))))
                 if kind == "update":

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from tessera.functions.normalize import BY_NAME, Rule, pick_rule
 from tessera.operators.classframe import not_blank
 from tessera.plans.engine import Engine
-from tessera.plans.errors import Rejected
+from tessera.plans.errors import Rejected, SourceFault
 from tessera.plans.model import ObjectType, Source
 
 #: Values of each side that the normalising rule is chosen by: the least ones, so that the choice never varies.
 SAMPLE = 20
-# Names and comments that hint at an identifier.
-KEY_HINT = re.compile(r"(^|_)(sn|no|code|serial|id|key|number|login|sku|tag)($|_)|serial|identif|unique", re.I)
+# Endings of names, and words of comments, that hint at an identifier.
+NAME_HINT = re.compile(r"(no|code|sn|num)$", re.I)
+COMMENT_HINT = re.compile(r"(编号|序列号|单号|证件号|卡号|号码)")
 
 
 def texts(df: DataFrame, column: str) -> DataFrame:
@@ -78,17 +79,17 @@ class Candidate:
 
 
 def key_candidates(engine: Engine, cls: ObjectType) -> list[Candidate]:
-    """Properties that may tell individuals apart: mapped in every source, and current, unique, a text key, or named like one."""
+    """Properties that may tell individuals apart: mapped in every source, and the present key, unique or a text primary
+    key everywhere, or hinted at by name or comment and no whole number, which row numbers are."""
     found = []
     infos = {s.name: {c.name: c for c in engine.sources.info(s.connection, s.table).columns} for s in cls.sources.values()}
     for p in cls.properties.values():
         if p.derived is not None or not cls.sources or any(p.name not in s.fields for s in cls.sources.values()):
             continue
         columns = [infos[s.name][s.fields[p.name]] for s in cls.sources.values()]
-        hard = all(c.unique for c in columns)
-        hinted = bool(KEY_HINT.search(p.name)) or any(KEY_HINT.search(f"{c.name} {c.comment or ''}") for c in columns)
-        text_pk = any(c.pk and c.type != "number" for c in columns)
-        if p.name == cls.identity or hard or text_pk or hinted:
+        hard = all(c.unique and not c.pk for c in columns) or all(c.pk and not c.integer for c in columns)
+        hinted = bool(NAME_HINT.search(p.name) or any(COMMENT_HINT.search(t or "") for t in (p.description, *(c.comment for c in columns))))
+        if p.name == cls.identity or hard or (hinted and not any(c.integer for c in columns)):
             found.append(Candidate(p.name, p.name == cls.identity, hard, hinted))
     return found
 
@@ -108,11 +109,16 @@ def key_trial(engine: Engine, name: str, mates: list[str] | None = None) -> Data
     parts, labels = [], []
 
     def add(owner: ObjectType, p: str, side: str) -> None:
-        values = [_column(engine, s, p) for s in owner.sources.values()]
-        rule = pick_rule([v for part in values for v in sample(part)][: 2 * SAMPLE])
+        values = {}
+        for s in owner.sources.values():
+            try:
+                values[s] = _column(engine, s, p)
+            except SourceFault:
+                continue  # a trial goes by what can be read
+        rule = pick_rule([v for part in values.values() for v in sample(part)][:SAMPLE])
         label = f"{owner.name}.{p}"
         labels.append((label, side))
-        for s, v in zip(owner.sources.values(), values):
+        for s, v in values.items():
             parts.append(v.select(F.lit(label).alias("column"), F.lit(s.name).alias("source"), rule.column(F.col("value")).alias("value")))
 
     own = key_candidates(engine, cls)
@@ -122,7 +128,7 @@ def key_trial(engine: Engine, name: str, mates: list[str] | None = None) -> Data
         for c in key_candidates(engine, o):
             add(o, c.name, "mate")
     schema = "candidate string, hard boolean, rows long, distinct_values long, unique_in_each boolean, mate string, mate_key string, hits long"
-    if not own:
+    if not own or not parts:
         return engine.spark.createDataFrame([], schema)
     # Rows per column, source and value; then per column and value; all later steps are small.
     counted = reduce(DataFrame.unionByName, parts).groupBy("column", "source", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -326,7 +326,7 @@ def draft_from_tables(tables, taken: set[str] = frozenset()) -> dict:
         name = t.table.lower()
         if name in found or name in taken:
             name = f"{t.connection}_{name}"
-        keys = [c for c in t.columns if c.unique and not (c.pk and c.type == "number")]
+        keys = [c for c in t.columns if (c.unique or c.pk) and not c.integer]
         keys.sort(key=lambda c: not c.pk)
         pk = next((c.name for c in t.columns if c.pk), None)
         properties = {c.name.lower(): {"type": c.type} | ({"description": c.comment} if c.comment else {}) for c in t.columns}

@@ -35,7 +35,7 @@ class Property:
         return [v["value"] if isinstance(v, dict) else v for v in self.values]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Source:
     """``fields`` maps properties to columns. ``order_by``: which of several rows with one key is the first (all columns
     where empty). ``unique``: the key is known not to repeat, so rows need no deduplication."""

@@ -36,11 +36,14 @@ class Connection:
 
 @dataclass(frozen=True)
 class ColumnInfo:
+    """``unique``: a declared unique column; ``pk``: the primary key; ``integer``: a whole number, as row numbers are."""
+
     name: str
     type: str
     comment: str | None
     unique: bool
     pk: bool
+    integer: bool = False
 
 
 @dataclass(frozen=True)
@@ -162,7 +165,7 @@ class Sources:
         unique, primary = held.unique.get(table, set()), held.primary.get(table)
         comments = held.comments.get(table) or {}
         return TableInfo(connection, table, tuple(
-            ColumnInfo(f.name, property_type(f.dataType), comments.get(f.name) or f.metadata.get("comment"), f.name in unique or f.name == primary, f.name == primary)
+            ColumnInfo(f.name, property_type(f.dataType), comments.get(f.name) or f.metadata.get("comment"), f.name in unique, f.name == primary, isinstance(f.dataType, T.IntegralType))
             for f in df.schema
         ))
 

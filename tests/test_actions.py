@@ -71,6 +71,17 @@ def test_targets_by_filter(spark, e):
     assert e.with_tables(batch.apply()).rows({"object": "repair", "identity": "R-1"}).first().ended_at == world.NOW
 
 
+def test_one_target_set_for_all_requests(spark):
+    model = copy.deepcopy(world.MODEL)
+    for name, test in (("retire", {"mark": "scrapped"}), ("nobody", {"mark": "none such"})):
+        model["object_types"]["equipment"]["actions"][name] = {"effect": [{"update": {"object": "equipment", "filter": test, "properties": {"dept": {"from": "request"}}}}]}
+    e = world.engine(spark, model)
+    batch = e.plan_actions("equipment", "retire", requests(spark, (2, "EQ-40090", "D02"), (1, "EQ-40091", "D01")))
+    assert batch.rejected.count() == 0 and ledger(batch) == [(1, "device", "update", f"EQ-4008{i}", "applied") for i in range(3)]
+    assert {r.dept for r in e.with_tables(batch.apply()).rows({"object": "equipment", "filter": {"status": "scrapped"}}).collect()} == {"D01"}
+    assert e.plan_actions("equipment", "nobody", requests(spark, (1, "x", "y"), (2, "z", "y"))).rejected.count() == 2
+
+
 def test_mutex(spark, e):
     batch = e.plan_actions("equipment", "muddle", requests(spark, (1, "EQ-40090")))
     assert [(r.request_id, r.stage) for r in batch.rejected.collect()] == [(1, "axiom")] and ledger(batch) == []

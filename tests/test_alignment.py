@@ -52,6 +52,24 @@ def test_key_trial_and_suggestion(e):
     assert verdict.suggest_key([{"candidate": "a", "unique_in_each": True, "hard": False, "hits": 0}], "a")[0] == "a"
 
 
+def test_candidates_of_keys(spark, e):
+    from tessera.operators.integrate import key_candidates
+
+    made = split_model()
+    made["object_types"]["device"]["properties"] |= {"number": {"type": "number", "description": "编号"}, "tag_no": {"type": "string"}}
+    made["object_types"]["device"]["sources"]["device"]["fields"] |= {"number": "dev_id", "tag_no": "status"}
+    engine = world.engine(spark, made)
+    names = lambda: [(c.name, c.hard) for c in key_candidates(engine, engine.model.object("device"))]
+    assert names() == [("serial_no", False), ("tag_no", False)]  # a whole number is no candidate by its comment
+    engine.sources.connections["devices"].unique = {"device": {"dev_id", "name"}}
+    assert names() == [("name", True), ("serial_no", False), ("number", True), ("tag_no", False)]
+    engine.sources.connections["devices"].primary = {"device": "dev_id"}
+    assert ("number", True) not in names()
+    broken = engine.with_tables({})
+    broken.sources.connections["assets"] = type(engine.sources.connections["assets"])(lambda t: 1 / 0, lambda: ["asset"])
+    assert {r.mate for r in key_trial(broken, "po_item", ["device"]).collect()} == {"device"}
+
+
 def test_rules():
     assert [pick_rule(s).name for s in ([], ["SN-123", "ab 4567", "x"], ["138 1234 5678", "+8613912345678"], ["11010119900101123x"], ["a@b.c"], ["hello"])] == ["serial", "serial", "phone", "id_card", "email", "plain"]
     assert [BY_NAME[n].text(v) for n, v in (("serial", "sn-1 23"), ("phone", "+86 138-1234-5678"), ("id_card", "1 2x"), ("email", " A@B.c "), ("plain", " x "))] == ["SN123", "13812345678", "12X", "a@b.c", "x"]
@@ -127,7 +145,7 @@ def test_sources(spark):
     held.register("broken", type(connection)(lambda t: 1 / 0, lambda: ["x"]))
     assert rows(held.sample("crm", "person")) == [(1, "1381******78", None), (2, "******", "******")]
     info = held.info("crm", "person")
-    assert [(c.name, c.type, c.unique, c.pk) for c in info.columns] == [("id", "number", True, True), ("phone", "string", True, False), ("email", "string", False, False)]
+    assert [(c.name, c.type, c.unique, c.pk) for c in info.columns] == [("id", "number", False, True), ("phone", "string", True, False), ("email", "string", False, False)]
     assert [(t.connection, bool(t.error)) for t in held.tables()] == [("crm", False), ("broken", True)]
     assert held.profile("crm", "person", ["id", "email"]) == {"id": (2, 2, 2), "email": (2, 1, 1)}
     draft = draft_from_tables([info])

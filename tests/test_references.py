@@ -30,8 +30,8 @@ def brute(refs, targets, deleted):
 
 def make(spark, refs, targets, deleted, hot):
     return References(
-        spark.createDataFrame(refs, "src string, ref_id long, key string, loaded_at timestamp").repartition(3),
-        spark.createDataFrame(targets, "key string, loaded_at timestamp"), spark.createDataFrame(deleted, "key string"), hot_rows=hot,
+        spark.createDataFrame(refs, "src string, ref_id long, key string, loaded_at timestamp").repartition(3).selectExpr("*", "'clash' as kind", "1 as period", "2 as cut"),
+        spark.createDataFrame(targets, "key string, loaded_at timestamp").selectExpr("*", "'x' as here"), spark.createDataFrame(deleted, "key string").selectExpr("*", "1 as loaded_at"), hot_rows=hot,
     )
 
 
