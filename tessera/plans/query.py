@@ -115,8 +115,16 @@ def _names(frame: ClassFrame, wanted: list[str] | None) -> list[str]:
     return names
 
 
-def _expand(frame: ClassFrame, nodes: list[dict], small: bool) -> list[str]:
-    """Adds one array column per expansion to a frame; gives their names. ``small``: the frame has at most MOST_ROWS rows."""
+#: How many rows of a class an expansion starts from: at most MOST_ROWS, those related to such, or all.
+FEW, NEAR, ALL = range(3)
+
+
+def _expand(frame: ClassFrame, nodes: list[dict], start: int) -> list[str]:
+    """Adds one array column per expansion to a frame; gives their names.
+
+    From few individuals, related rows are first cut down to theirs, at the price of reading the few again; from all of
+    them that would only compute everything twice.
+    """
     made = []
     for node in nodes or ():
         hop = frame.hop(node["relation"])
@@ -134,11 +142,12 @@ def _expand(frame: ClassFrame, nodes: list[dict], small: bool) -> list[str]:
         ours = {f"{column}_{i}": a for i, (a, _) in enumerate(pairs)}
         theirs = {f"{column}_t{i}": b for i, (_, b) in enumerate(pairs)}
         frame.df, target.df = frame.df.withColumns(ours), target.df.withColumns(theirs)
-        wanted = frame.df.select(*ours).distinct()
         on = [F.col(a) == F.col(b) for a, b in zip(ours, theirs)]
-        target.df = target.df.join(F.broadcast(wanted) if small else wanted, on, "left_semi")
+        if start != ALL:
+            wanted = frame.df.select(*ours).distinct()
+            target.df = target.df.join(F.broadcast(wanted) if start == FEW else wanted, on, "left_semi")
         names = _names(target, node.get("properties"))
-        inner = _expand(target, node.get("expand"), False)
+        inner = _expand(target, node.get("expand"), ALL if start == ALL else NEAR)
         item = F.struct(*(target.output(n) for n in names), *(F.col(f"{target.tag}e_{r}").alias(r) for r in inner))
         # In the order of the target's key, whatever the columns shown are.
         by_key = F.array_sort(F.collect_list(F.struct(target.key.alias("key"), item.alias("item")))) if not inner else F.collect_list(F.struct(target.key.alias("key"), item.alias("item")))
@@ -190,7 +199,7 @@ def run_query(binding: Binding, request: dict, *, most: int | None = MOST_ROWS)
     if most is not None:
         frame.df = frame.df.limit(limit)
         binding.notes.append(f"at most {limit} rows")
-    expanded = _expand(frame, request.get("expand"), most is not None)
+    expanded = _expand(frame, request.get("expand"), FEW if most is not None else ALL)
     df = frame.df.select(*(frame.output(n) for n in names), *(F.col(f"{frame.tag}e_{r}").alias(r) for r in expanded))
     if order and expanded:
         df = df.orderBy(_sort(*order))  # joins do not keep the order

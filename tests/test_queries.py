@@ -68,6 +68,14 @@ def test_order_and_limit(e):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_expansions_agree_from_few_and_from_all(e):
+    nested = [{"relation": "has_equipment", "properties": ["serial_no"], "expand": [{"relation": "covered_by", "properties": ["expiry"]}, {"relation": "under_repair", "properties": ["repair_no"]}]}]
+    request = {"object": "department", "properties": ["dept_id"], "filter": {"dept_id": {"in": ["D02", "D07"]}}, "expand": nested}
+    flat = lambda df: sorted((r.dept_id, x.serial_no, tuple(c.expiry for c in x.covered_by), tuple(c.repair_no for c in x.under_repair)) for r in df.collect() for x in r.has_equipment)
+    few = flat(e.query(request).df)
+    assert few == flat(e.rows(request)) and any(c for _, _, c, _ in few) and any(r for *_, r in few)
+
+
 def test_null_in_the_first_source_stays(spark):
     made = one(spark, [[("1", None), ("3", "c")], [("1", "x"), ("2", "y")]], ["k string, v string"] * 2, {"k": {"type": "string"}, "v": {"type": "string"}}, [{"k": "k", "v": "v"}] * 2)
     assert rows(made.rows({"object": "x"})) == [("1", None), ("2", "y"), ("3", "c")]
