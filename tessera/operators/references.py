@@ -2,11 +2,13 @@
 
 Skew-aware split:
 
-1. references are pre-aggregated per key, table and period, which shrinks any hot key to its periods;
+1. references are pre-aggregated per key, table and period, which shrinks any hot key to its periods, and the groups are
+   stored once;
 2. keys that hold many rows are few, so their targets are looked up by broadcast; all other keys go through a shuffled
    anti-join with the targets;
 3. both give the faulty groups (table, key, period), whose counts are united. The faulty rows themselves are listed by
-   joining the references to those groups, by broadcast where the key is hot and by shuffle elsewhere.
+   joining the references to those groups, by broadcast where the key is hot and by shuffle elsewhere; rows of hot keys
+   are never shuffled, and not even read if none of those keys is faulty.
 
 Kinds: ``late`` - the target exists, but first arrived after the referring row; ``deleted`` - it does not exist and has a
 record of deletion; ``missing`` - neither. A group of an existing target can hold late and good rows: its ``cut`` is the
@@ -20,12 +22,13 @@ make every reference ``missing``; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codes import utc_month
-from tessera.plans.shared import hot_keys
+from tessera.plans.shared import hot_keys, store
 
 #: A key with so many references is hot; at most so many keys are looked up by broadcast (a few hundred kB).
 HOT_ROWS, MOST_HOT = 10_000, 2_000
@@ -45,6 +48,7 @@ class References:
         known = self.targets.select("key", F.lit(True).alias("here"), "loaded_at").unionByName(self.deleted.select("key", F.lit(False).alias("here"), F.lit(None).cast("timestamp").alias("loaded_at")))
         known = known.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("here").alias("here"), F.min("loaded_at").alias("cut"))
         groups = refs.groupBy("key", "src", "period").agg(F.count(F.lit(1)).alias("n"), F.min("loaded_at").alias("earliest"), F.max("loaded_at").alias("latest"))
+        groups = store(groups)
         hot = [k for k, _ in hot_keys(groups, "key", "n", self.hot_rows, MOST_HOT)]
         for name, value in (("_refs", refs), ("_known", known), ("_groups", groups), ("_hot", hot)):
             object.__setattr__(self, name, value)
@@ -60,30 +64,31 @@ class References:
         found = groups.join(known, "key", "left").withColumn("kind", kind).where(F.col("kind").isNotNull())
         return found.withColumn("mixed", (F.col("kind") == "late") & (F.col("latest") >= F.col("cut")))
 
-    def _groups_by_heat(self) -> tuple[DataFrame, DataFrame]:
-        (hot, cold), (known_hot, _) = self._split(self._groups), self._split(self._known)
-        return self._faulty(hot, F.broadcast(known_hot)), self._faulty(cold, self._known)
+    def _parts(self) -> list[tuple[DataFrame, DataFrame, bool]]:
+        """References beside their faulty groups: those of hot keys, where any is faulty, with small groups; the others."""
+        (hot_refs, cold_refs), (hot, cold), (known_hot, _) = map(self._split, (self._refs, self._groups, self._known))
+        parts = [(cold_refs, self._faulty(cold, self._known), False)]
+        if self._hot and not (faulty := self._faulty(hot, F.broadcast(known_hot))).isEmpty():
+            # At most MOST_HOT keys times their tables and months.
+            parts.append((hot_refs, faulty, True))
+        return parts
 
     def rows(self) -> DataFrame:
         """src, ref_id, kind, period of each faulty row."""
-        parts = []
-        # The groups of hot keys are at most MOST_HOT keys times their tables and months.
-        for refs, groups, small in zip(self._split(self._refs), self._groups_by_heat(), (True, False)):
+        found = []
+        for refs, groups, small in self._parts():
             groups = groups.select("key", "src", F.col("period").alias("__period"), "kind", "cut")
             on = (refs.key == groups.key) & (refs.src == groups.src) & refs.period.eqNullSafe(groups["__period"])
             rows = refs.join(F.broadcast(groups) if small else groups, on, "inner")
-            parts.append(rows.where((F.col("kind") != "late") | (F.col("loaded_at") < F.col("cut"))).select(refs.src, "ref_id", "kind", "period"))
-        return parts[0].unionByName(parts[1])
+            found.append(rows.where((F.col("kind") != "late") | (F.col("loaded_at") < F.col("cut"))).select(refs.src, "ref_id", "kind", "period"))
+        return reduce(DataFrame.unionByName, found)
 
     def counts(self) -> DataFrame:
         """src, period, kind, n of the faulty rows; only groups with late and good rows are counted row by row."""
-        parts = []
-        for refs, groups, small in zip(self._split(self._refs), self._groups_by_heat(), (True, False)):
-            parts.append(groups.where(~F.col("mixed")).select("src", "period", "kind", "n"))
+        found = []
+        for refs, groups, small in self._parts():
+            found.append(groups.where(~F.col("mixed")).select("src", "period", "kind", "n"))
             mixed = groups.where("mixed").select("key", F.col("src").alias("__src"), F.col("period").alias("__period"), "kind", "cut")
             on = (refs.key == mixed.key) & (refs.src == mixed["__src"]) & (refs.period == mixed["__period"]) & (refs.loaded_at < mixed.cut)
-            parts.append(refs.join(F.broadcast(mixed) if small else mixed, on, "inner").select("src", "period", "kind", F.lit(1).cast("long").alias("n")))
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        return union.groupBy("src", "period", "kind").agg(F.sum("n").alias("n"))
+            found.append(refs.join(F.broadcast(mixed) if small else mixed, on, "inner").select("src", "period", "kind", F.lit(1).cast("long").alias("n")))
+        return reduce(DataFrame.unionByName, found).groupBy("src", "period", "kind").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table in the shared folder: smaller than a checkpoint, read by column and filter.
+
+    The table is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def hot_keys(df: DataFrame, key: str, weight: str | None, least: int, most: int) -> list[tuple]:
     """The keys that hold at least ``least`` rows (or that sum of ``weight``), largest first, with their size.
 
