@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tessera.plans.shared import hot_keys
 
 OPEN = 1 << 62
+#: Times beyond this many seconds count as this when compared with known times, whose microseconds end there.
+FAR = 9_000_000_000_000
 #: Rows of an entity from which it is split; more entities than that, or shards in all, are never sent to the driver.
 SHARD_ROWS, MOST_ENTITIES, MOST_SHARDS, MOST_CUTS = 20_000, 1_000, 1_000_000, 65_536
 ROWS_OUT = 20_000
@@ -207,7 +209,7 @@ def as_known(facts: DataFrame, events: DataFrame, *, shard_rows: int = SHARD_ROW
     f = facts.select("key", F.lit(0).alias("shard"), F.lit(FACT).alias("tag"), F.unix_micros("known").alias("known"), "starts", F.coalesce("ends", F.lit(OPEN)).alias("ends"), "number", "value")
     f = f.where(F.col("key").isNotNull() & F.col("value").isNotNull() & F.col("known").isNotNull() & (F.col("ends") > F.col("starts")))
     f = f.where(F.col("ends") > F.ceil(F.col("known") / 1_000_000))  # known only when it was over: never chosen
-    e = events.select("key", F.lit(0).alias("shard"), F.lit(EVENT).alias("tag"), (F.col("at") * 1_000_000).alias("known"), F.col("at").alias("starts"), F.lit(0).cast("long").alias("ends"), "number", F.col("event").alias("value"))
+    e = events.select("key", F.lit(0).alias("shard"), F.lit(EVENT).alias("tag"), (F.greatest(F.least("at", F.lit(FAR)), F.lit(-FAR)) * 1_000_000).alias("known"), F.col("at").alias("starts"), F.lit(0).cast("long").alias("ends"), "number", F.col("event").alias("value"))
     e = e.where(F.col("key").isNotNull() & F.col("starts").isNotNull() & F.col("value").isNotNull())
     rows = f.unionByName(e)
     hot = hot_keys(rows, "key", None, 2 * shard_rows, MOST_ENTITIES)

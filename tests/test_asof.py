@@ -50,6 +50,13 @@ def test_nulls_ties_and_late_arrivals(spark):
     assert rows(found) == [("e1", "tie"), ("e5", "known at the start")]
 
 
+def test_absurd_times(spark):
+    far = 2**63 - 1
+    facts = [("a", "x", -far, None, second(5), 1, None), ("a", "y", 10, far, second(5), 2, None)]
+    events = [("a", "e1", far, 1, None), ("a", "e2", far - 1, 2, None), ("a", "e3", -far, 3, None)]
+    assert rows(as_known(spark.createDataFrame(facts, FACTS), spark.createDataFrame(events, EVENTS))) == [("e2", "y")]
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], FACTS), spark.createDataFrame([("a", "e", 1, 1, None)], EVENTS)
     assert rows(as_known(none, some)) == rows(as_known(none, some.limit(0))) == []
