@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,23 +159,33 @@ class _Shared:
         return Lexicon.map(self.path) if self.path else Lexicon(self.held.value)
 
 
+def _assemble(words: list[list[str]], ids: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in one array, and where each text's begin and end, from each text's words and each word's ids."""
+    number = {w: i for i, w in enumerate(ids)}
+    flat = np.fromiter(chain.from_iterable(ids.values()), np.int32)
+    ends = np.cumsum(np.fromiter(map(len, ids.values()), np.int64, len(ids)))
+    sizes = np.diff(ends, prepend=0)
+    said = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
+    n = sizes[said]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    # Within the run of a word, its ids follow one another.
+    at = np.arange(upto[-1]) + np.repeat((ends - sizes)[said] - upto[:-1], n)
+    bounds = upto[np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])]
+    return flat[at], bounds
+
+
 def _encode(shared: _Shared, ranks, columns: int, only_counts: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, unseen, split = shared.open(), merger(ranks.value), splitter()
-        kind = pa.int64() if only_counts else pa.list_(pa.int32())
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(columns).to_pylist()):
-                words = [split(t) for t in texts]
-                ids = {}
+                words, ids = [split(t) for t in texts], {}
                 for w in set(chain.from_iterable(words)):
                     found = lexicon.find(w.encode())
                     ids[w] = unseen(w) if found is None else found
-                if only_counts:
-                    size = {w: len(i) for w, i in ids.items()}
-                    values = pa.array([sum(map(size.__getitem__, ws)) for ws in words], kind)
-                else:
-                    values = pa.array([list(chain.from_iterable(map(ids.__getitem__, ws))) for ws in words], kind)
+                flat, bounds = _assemble(words, ids)
+                values = pa.array(np.diff(bounds)) if only_counts else pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(columns)]
                 yield pa.RecordBatch.from_arrays([*kept, values], names=[*batch.schema.names[:columns], "out"])
                 at += len(texts)
