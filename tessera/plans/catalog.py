@@ -20,6 +20,10 @@ from tessera.plans.errors import Rejected, StaleRevision
 from tessera.plans.model import Model, structural_hash
 
 
+#: Seconds after which a lock counts as left behind; writes under it take milliseconds.
+LOCK_S = 60
+
+
 class Workspace:
     def __init__(self, folder: str | Path, name: str = "main", *, now: Callable[[], float] = time.time) -> None:
         self.at, self.now = Path(folder) / name, now
@@ -46,6 +50,12 @@ class Workspace:
                 os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
                 break
             except FileExistsError:
+                try:
+                    if time.time() - lock.stat().st_mtime > LOCK_S:
+                        lock.unlink(missing_ok=True)  # whoever held it is gone
+                        continue
+                except FileNotFoundError:
+                    continue
                 if time.monotonic() > until:
                     raise StaleRevision("the workspace is locked") from None
                 time.sleep(0.01)

@@ -111,6 +111,15 @@ def test_versions_and_revisions(tmp_path):
     assert workspaces(tmp_path) == ["one"]
 
 
+def test_a_lock_left_behind(tmp_path):
+    import os
+
+    ws = Workspace(tmp_path)
+    (ws.at / "lock").touch()
+    os.utime(ws.at / "lock", (0, 0))
+    assert ws.replace(BASE, 0) == 1 and not (ws.at / "lock").exists()
+
+
 def test_a_whole_alignment(spark, tmp_path):
     from tests.test_alignment import split_model
 
