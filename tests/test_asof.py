@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.operators.asof import FactTree, as_known
+from tessera.operators.asof import OPEN, FactTree, Shard, _Throughout, active, as_known, route
 from tests.conftest import rows, second
 
 FACTS = "key string, value string, starts long, ends long, known timestamp, number long, event string"
@@ -39,6 +39,60 @@ def test_random_histories(spark, shard_rows):
     assert rows(found) == brute(facts, events)
 
 
+def bulk(kind, n, rng):
+    """Facts of one key (starts, ends, known in seconds) that arrive or end in ways that would crowd one shard."""
+    for i in range(n):
+        starts = rng.randrange(1_000, 900_000)
+        if kind == "open":
+            yield starts, OPEN, starts + rng.randrange(1_000)
+        elif kind == "one load":
+            yield starts, rng.choice([OPEN, rng.randrange(900_001, 1_000_000)]), 900_000
+        elif kind == "one end":
+            yield starts, 950_000, starts + rng.randrange(1_000)
+        else:  # each within the one before, all known at once
+            yield 900_000 - i // 2, 900_001 + i // 2, 900_000
+
+
+@pytest.mark.parametrize("kind, n", [("open", 1_000_000), ("one load", 1_000_000), ("one end", 300_000), ("nested", 300_000)])
+def test_no_shard_of_a_hot_entity_is_crowded(kind, n):
+    rng = random.Random(kind)
+    facts = [("hot", active(s, k * 1_000_000), e, s, k * 1_000_000, i, "v") for i, (s, e, k) in enumerate(bulk(kind, n, rng))]
+    times = sorted([min(t, 1_099_999) for f in facts for t in f[1:3] if t < OPEN] + [rng.randrange(1_000, 1_100_000) for _ in range(n)])
+    cuts = {"hot": [*sorted(set(times[:: len(times) * 20_000 // n // 2])), 1_100_000]}
+    throughout, rows = {"hot": _Throughout(len(cuts["hot"]))}, []
+    for at in range(0, n, 50_000):
+        rows += route(facts[at : at + 50_000], cuts, throughout)
+    sizes = [0] * len(cuts["hot"])
+    for row in rows:
+        sizes[row[1]] += 1
+    for shard, _ in throughout["hot"].shards():
+        sizes[shard] += 1
+    assert len(sizes) > 20 and max(sizes) < 40_000
+
+
+@pytest.mark.parametrize("kind", ["open", "one load", "one end", "nested"])
+@pytest.mark.parametrize("shard_rows", [15, 20_000])
+def test_crowded_histories(spark, kind, shard_rows):
+    rng = random.Random(kind)
+    facts = [("hot", f"v{i}", s, None if e == OPEN else e, second(k), i, None) for i, (s, e, k) in enumerate(bulk(kind, 400, rng))]
+    events = [("hot", f"e{i}", rng.choice([rng.randrange(1_000, 1_100_000), rng.randrange(899_700, 900_300)]), i, None) for i in range(300)]
+    found = as_known(spark.createDataFrame(facts, FACTS).repartition(3), spark.createDataFrame(events, EVENTS).repartition(3), shard_rows=shard_rows)
+    assert rows(found) == brute(facts, events)
+
+
+def test_a_shard_holds_one_run():
+    rng, shard, most = random.Random(3), Shard(100), 0
+    facts = sorted(((s := rng.randrange(100_000), s + rng.randrange(1, 5_000), s + rng.randrange(500)) for _ in range(20_000)), key=lambda f: f[2])
+    for i, (starts, ends, known) in enumerate(facts):
+        shard.fact(ends, starts, known * 1_000_000, i, "v")
+        shard.event(known * 1_000_000, known, i, "e")
+        most = max(most, len(shard.facts))
+        if shard.full():
+            list(shard.answers())
+            shard.go_on(active(starts, known * 1_000_000))
+    assert most < 1_000
+
+
 def test_nulls_ties_and_late_arrivals(spark):
     facts = [
         ("a", "first", 10, None, second(5), 1, None), ("a", "tie", 10, None, second(5), 2, None), ("a", "late", 12, None, second(1_000), 3, None),
