@@ -12,7 +12,7 @@ from tessera.functions.codes import code_form, usable_interval
 from tessera.operators.asof import as_known
 from tessera.operators.intervals import interval_gaps, interval_periods
 from tessera.operators.references import References
-from tessera.operators.snapshots import model_changes
+from tessera.operators.snapshots import WARN, model_changes
 
 
 def _intervals(spark: SparkSession, at: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p3_counts(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
-    return model_changes(read(spark, at, "onto_version"))
+    return model_changes(read(spark, at, "onto_version"), unreadable=WARN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_periods, p2_found, p3_found, p3_counts, p4_found)}

@@ -14,6 +14,7 @@ with a null scope or number are no snapshots; other columns are ignored.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.yamltext import Unreadable, content_hash, load
-from tessera.plans.shared import cut
+from tessera.plans.shared import store
 
 #: Snapshot numbers in a block, as a power of two.
 BLOCK_BITS = 10
@@ -63,18 +64,21 @@ def snapshot_changes(rows: DataFrame, scope: list[str], number: str, record: str
 
 #: The parts of a model whose entries are records.
 SECTIONS = ("object_types", "link_types")
-RECORDS = pa.schema([("workspace_id", pa.int32()), ("version", pa.int32()), ("record", pa.string()), ("content", pa.binary())])
+RECORDS = pa.schema([("workspace_id", pa.int32()), ("version", pa.int32()), ("record", pa.string()), ("content", pa.binary()), ("fault", pa.string())])
+#: What is done about versions whose text cannot be read.
+FAIL, WARN = "fail", "warn"
 
 
 def read_model(text: str | None, canvas: str | None) -> dict | None:
-    """The model of a row: its text or, if that is blank or unreadable, the config within the canvas. None: neither."""
+    """The model of a row: its text or, if that is blank, the config within the canvas. None: neither holds one.
+
+    A text that is not blank and holds no model is :class:`Unreadable`; nothing takes its place.
+    """
     if text and text.strip():
-        try:
-            model = load(text)
-        except Unreadable:
-            model = None
-        if isinstance(model, dict):
-            return model
+        model = load(text)
+        if not isinstance(model, dict):
+            raise Unreadable("the text is no mapping")
+        return model
     if canvas and canvas.strip():
         try:
             model = json.loads(canvas).get("config")
@@ -89,24 +93,42 @@ def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for workspace, version, text, canvas in zip(*(c.to_pylist() for c in batch.columns)):
-            model = read_model(text, canvas)
+            try:
+                model = read_model(text, canvas)
+            except Unreadable as e:
+                out.append((workspace, version, None, None, str(e)))
+                continue
             if model is None:
                 continue
-            out.append((workspace, version, None, None))
+            out.append((workspace, version, None, None, None))
             for section in SECTIONS:
                 entries = model.get(section)
                 if isinstance(entries, dict):
-                    out += ((workspace, version, f"{section}.{name}", content_hash(value)) for name, value in entries.items())
+                    out += ((workspace, version, f"{section}.{name}", content_hash(value), None) for name, value in entries.items())
         columns = zip(*out) if out else [[] for _ in RECORDS]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RECORDS)], schema=RECORDS)
 
 
 def model_records(versions: DataFrame) -> DataFrame:
-    """workspace_id, version, record, content (hash) of each published row; a row without a readable model is no snapshot."""
+    """workspace_id, version, record, content (hash), fault of each published row.
+
+    A row without a text and a config is no snapshot; one whose text cannot be read has one row, with the reason as fault.
+    """
     rows = versions.where(F.col("version").isNotNull() & F.col("workspace_id").isNotNull())
-    return rows.select("workspace_id", "version", "yaml", "canvas_json").mapInArrow(_records, "workspace_id int, version int, record string, content binary")
+    return rows.select("workspace_id", "version", "yaml", "canvas_json").mapInArrow(_records, "workspace_id int, version int, record string, content binary, fault string")
 
 
-def model_changes(versions: DataFrame) -> DataFrame:
-    """workspace_id, version, record, change. The texts are read once; what they hold is kept in the shared folder."""
-    return snapshot_changes(cut(model_records(versions)), ["workspace_id"], "version", "record", "content")
+def model_changes(versions: DataFrame, *, unreadable: str = FAIL) -> DataFrame:
+    """workspace_id, version, record, change. The texts are read once; what they hold is kept in the shared folder.
+
+    Versions with an unreadable text end the job with their number and the first of them; with ``unreadable`` WARN they
+    are left out, as a warning says, and the versions around them are compared.
+    """
+    records = store(model_records(versions))
+    faulty = records.where(F.col("fault").isNotNull())
+    if first := faulty.select("workspace_id", "version", "fault").orderBy("workspace_id", "version", "fault").limit(5).collect():
+        told = f"{faulty.count()} model texts cannot be read: " + "; ".join(f"workspace {w}, version {v}: {why}" for w, v, why in first)
+        if unreadable != WARN:
+            raise Unreadable(told)
+        warnings.warn(told, stacklevel=2)
+    return snapshot_changes(records.where(F.col("fault").isNull()), ["workspace_id"], "version", "record", "content")

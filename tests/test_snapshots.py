@@ -6,10 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.functions.yamltext import Unreadable, canonical, load
-from tessera.operators.snapshots import model_changes, neighbours, read_model, snapshot_changes
+from tessera.operators.snapshots import WARN, model_changes, neighbours, read_model, snapshot_changes
 from tests.conftest import rows
 
-yaml = pytest.importorskip("yaml")
+yaml = pytest.importorskip("yaml")  # writes texts to read; the library has no use for it
+
 
 
 def brute(snapshots):
@@ -72,6 +73,51 @@ def test_reader_by_hand():
             load(bad)
 
 
+@pytest.mark.parametrize("plain", ["yes", "no", "off", "010", "0o10", "1_000", "2024-01-01", "12:30", "~", "1.0", "0x1F", "two words"])
+def test_an_anchor_changes_no_value(plain):
+    """One dialect: the same word means the same with an anchor, a tag of its own or as an explicit key's value."""
+    want = canonical({"a": load(f"a: {plain}")["a"], "b": 1})
+    for text in (f"a: &x {plain}\nb: 1", f"b: 1\na: &x\n  {plain}", f"? a\n: {plain}\nb: 1", f"{{a: &x {plain}, b: 1}}", f"--- &m\na: {plain}\nb: &n 1\n", f"&k a: {plain}\nb: 1"):
+        assert canonical(load(text)) == want
+    assert load(f"a: !!str {plain}") == {"a": plain}
+
+
+def test_words_of_the_core_schema():
+    assert load("[yes, no, on, 010, 0o10, 0x1F, 1_000, 2024-01-01, 1e3, .inf, True, ~, 12:30]") == ["yes", "no", "on", 10, 8, 31, "1_000", "2024-01-01", 1000.0, float("inf"), True, None, "12:30"]
+
+
+def test_anchors_tags_and_explicit_keys():
+    assert load("base: &b\n  k: 1\n  l: [1]\nother:\n  <<: *b\n  k: 2\nthird: {<<: [*b, {m: 3}], l: 4}\n") == {"base": {"k": 1, "l": [1]}, "other": {"k": 2, "l": [1]}, "third": {"k": 1, "l": 4, "m": 3}}
+    assert load("- &m k: v\n  l: *m\n- &n\n  - 1\n- *n\n- !!int 3\n- !pump {a: 1}\n- ! 12\n") == [{"k": "v", "l": "k"}, [1], [1], 3, {"!pump": {"a": 1}}, "12"]
+    assert load("? a\n: - 1\n  - 2\n? [x, y]\n? c\n: &t |\n  text\nd: *t\n") == {"a": [1, 2], '["x", "y"]': None, "c": "text\n", "d": "text\n"}
+    bomb = "a: &a [" + "x, " * 9 + "x]\n" + "".join(f"{b}: &{b} [{', '.join(['*' + a] * 10)}]\n" for a, b in zip("abcdefghij", "bcdefghijk"))
+    for bad in ("a: *b", "a: &x [*x]", "a: !!int x", bomb):
+        with pytest.raises(Unreadable):
+            load(bad)
+
+
+class Aliasing(yaml.SafeDumper):
+    def ignore_aliases(self, data):
+        return not isinstance(data, (dict, list)) or not data
+
+
+@given(VALUES, VALUES, st.sampled_from([None, True, False]))
+@settings(max_examples=200, deadline=None)
+def test_reads_shared_values(value, other, flow):
+    text = yaml.dump({"x": value, "y": [value, other], "z": {"k": other, "v": value}}, Dumper=Aliasing, default_flow_style=flow, allow_unicode=True)
+    assert canonical(load(text)) == canonical({"x": value, "y": [value, other], "z": {"k": other, "v": value}})
+
+
+def test_unreadable_texts_are_told(spark):
+    data = [(1, 1, 1, "object_types: {a: {}}", None), (2, 1, 2, "object_types: [", '{"config": {"object_types": {}}}'), (3, 1, 3, "object_types: {b: {}}", None)]
+    df = spark.createDataFrame(data, "id long, workspace_id int, version int, yaml string, canvas_json string")
+    with pytest.raises(Unreadable, match="1 model texts cannot be read: workspace 1, version 2"):
+        model_changes(df)
+    with pytest.warns(UserWarning, match="version 2"):
+        found = model_changes(df, unreadable=WARN)
+    assert rows(found) == [(1, 3, "object_types.a", "removed"), (1, 3, "object_types.b", "added")]
+
+
 def test_models_of_rows(spark):
     one, two = {"object_types": {"a": {"x": 1, "y": [1, 2]}}, "link_types": {}}, {"object_types": {"a": {"y": [1, 2], "x": 1.0}, "b": {}}}
     reordered = {"object_types": {"a": {"x": 1, "y": [2, 1]}, "b": {}}}
@@ -83,6 +129,9 @@ def test_models_of_rows(spark):
     df = spark.createDataFrame(data, "id long, workspace_id int, version int, yaml string, canvas_json string")
     assert rows(model_changes(df)) == [(7, 3, "object_types.b", "added"), (7, 9, "object_types.a", "changed"), (8, 2, "link_types.l", "added"), (8, 2, "object_types.z", "added")]
     assert rows(model_changes(df.limit(0))) == []
-    assert read_model("[1", '{"config": {"a": 1}}') == {"a": 1} and read_model("text", "[]") is None
+    for text in ("[1", "text", "a: *b"):  # nothing falls back
+        with pytest.raises(Unreadable):
+            read_model(text, '{"config": {"a": 1}}')
+    assert read_model(" ", '{"config": {"a": 1}}') == {"a": 1} and read_model(None, "[]") is None
     long = {"object_types": {"a": {"note": "x" * 300_000}}}
     assert read_model(yaml.safe_dump(long), None) == long
