@@ -8,7 +8,7 @@ The work is done in three steps, none of which gathers an entity in one place:
 1. *combine*: each task keeps the maps of the entities it meets and hands out merged intervals only, cut at the edges of
    fixed time slots. A hot entity leaves a task as its few disjoint pieces, not as its rows.
 2. *merge*: pieces are shuffled by entity **and slot**; each task inserts a slot's pieces in the map that is its keyed
-   state. A slot has whole seconds only, so no state outgrows half its width.
+   state. A slot has whole seconds only, so no state outgrows half its width, in whatever year.
 3. *stitch*: only the first and last piece of each slot meet per entity, at most two per slot, in a window.
 
 Defined results: rows with a null key, a null start or an end not after its start are no intervals; a null end is open
@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 
 #: End of an interval that is still open.
 OPEN = 1 << 62
-#: Seconds in a slot, as a power of two (about 194 days). Times before 2004 share one slot, and so do those after 2038 or
-#: after the last start in the data (nothing can be uncovered there), so an open interval has few parts too.
-SLOT_BITS, SLOTS_FROM, SLOTS_TO = 24, 1 << 30, 1 << 31
+#: Seconds in a slot, as a power of two (about 194 days). That holds within EVEN of 1970 (the years 881 to 3058); beyond,
+#: each slot is twice as wide as the one before, so that even an interval over all time has a bounded number of parts.
+#: What lies after the last start in the data shares its slot: nothing can be uncovered there, and open ends have few parts.
+SLOT_BITS, EVEN = 24, 1 << 35
 #: A task hands out its maps when they hold so many entities or intervals, and any map that outgrows the last figure, as
 #: insertions in random order would get slow.
 FLUSH_ENTITIES, FLUSH_PIECES, FLUSH_MAP, ROWS_OUT = 100_000, 200_000, 10_000, 20_000
@@ -85,11 +86,24 @@ class IntervalMap:
         return len(self.starts)
 
 
+def slot_of(t: int, bits: int) -> int:
+    if -EVEN <= t < EVEN:
+        return t >> bits
+    return (EVEN >> bits) + (t // EVEN).bit_length() - 1 if t > 0 else -(EVEN >> bits) - (-(t + 1) // EVEN).bit_length()
+
+
+def slot_end(slot: int, bits: int) -> int:
+    n = EVEN >> bits
+    if -n <= slot < n:
+        return (slot + 1) << bits
+    return EVEN << (slot - n + 1) if slot > 0 else -(EVEN << (-slot - n - 1))
+
+
 def _cut(lo: int, hi: int, bits: int, horizon: int) -> Iterator[tuple[int, int, int]]:
     """The parts of an interval by slot."""
-    slot, last = (min(max(t, SLOTS_FROM - 1), horizon) >> bits for t in (lo, hi - 1))
+    slot, last = slot_of(lo, bits), slot_of(min(hi - 1, horizon), bits)
     while slot < last:
-        edge = (slot + 1) << bits
+        edge = slot_end(slot, bits)
         yield slot, lo, edge
         lo, slot = edge, slot + 1
     yield slot, lo, hi
@@ -195,7 +209,7 @@ def _pieces(df: DataFrame, keys: list[str], start: Column, end: Column, slot_bit
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     fields = [rows.schema[k] for k in keys]
-    horizon = min(rows.agg(F.max("__lo")).first()[0] or 0, SLOTS_TO)
+    horizon = rows.agg(F.max("__lo")).first()[0] or 0
     sliced = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in ("__slot", "__lo", "__hi"))])
     parts = rows.mapInArrow(_combine(_arrow(fields, ("__slot", pa.int64()), ("__lo", pa.int64()), ("__hi", pa.int64())), len(keys), slot_bits, horizon), sliced)
     # By start within a slot, so that an insertion, though still found by search, lands at the end of its map and moves

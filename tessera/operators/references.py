@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tessera.functions.codes import utc_month
 from tessera.plans.shared import hot_keys, store
 
-#: A key with so many references is hot; at most so many keys are looked up by broadcast (a few hundred kB).
+#: A key is hot from so many references on, and if it has at least this part of all. So there are no more hot keys than
+#: MOST_HOT (a few hundred kB to broadcast), none is left out, and any other has less than a two-thousandth of all rows.
 HOT_ROWS, MOST_HOT = 10_000, 2_000
 
 
@@ -49,7 +50,8 @@ class References:
         known = known.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("here").alias("here"), F.min("loaded_at").alias("cut"))
         groups = refs.groupBy("key", "src", "period").agg(F.count(F.lit(1)).alias("n"), F.min("loaded_at").alias("earliest"), F.max("loaded_at").alias("latest"))
         groups = store(groups)
-        hot = [k for k, _ in hot_keys(groups, "key", "n", self.hot_rows, MOST_HOT)]
+        least = max(self.hot_rows, -(-(groups.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+        hot = [k for k, _ in hot_keys(groups, "key", "n", least, MOST_HOT)]
         for name, value in (("_refs", refs), ("_known", known), ("_groups", groups), ("_hot", hot)):
             object.__setattr__(self, name, value)
 

@@ -20,13 +20,14 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     if state.exists:
         starts, ends = state.get
         held.starts, held.ends = list(starts), list(ends)
-    before = set(held.gaps())
+    shut, fresh = set(), set()
     for frame in frames:
         for lo, hi in zip(frame["lo"].tolist(), frame["hi"].tolist()):
-            held.add(lo, hi)
-    after = set(held.gaps())
+            closed, opened = held.change(lo, hi)
+            shut |= set(closed) - fresh  # a gap that came and went within the batch was never there
+            fresh = fresh - set(closed) | set(opened)
     state.update((held.starts, held.ends))
-    rows = [(*key, lo, hi, "closed") for lo, hi in sorted(before - after)] + [(*key, lo, hi, "opened") for lo, hi in sorted(after - before)]
+    rows = [(*key, lo, hi, "closed") for lo, hi in sorted(shut - fresh)] + [(*key, lo, hi, "opened") for lo, hi in sorted(fresh - shut)]
     yield pd.DataFrame(rows, columns=["key", "gap_from", "gap_to", "change"])
 
 

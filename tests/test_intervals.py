@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import IntervalMap, interval_gaps, interval_periods
+from tessera.operators.intervals import EVEN, IntervalMap, _cut, interval_gaps, interval_periods, slot_end, slot_of
 from tests.conftest import rows
 
 
@@ -20,6 +20,22 @@ def brute(intervals):
     return [tuple(p) for p in periods]
 
 
+@given(st.integers(-(2**62), 2**62), st.integers(20, 30))
+@settings(max_examples=300, deadline=None)
+def test_slots_follow_one_another(t, bits):
+    slot = slot_of(t, bits)
+    assert slot_end(slot - 1, bits) <= t < slot_end(slot, bits)
+    assert slot_of(slot_end(slot, bits), bits) == slot + 1
+
+
+def test_old_and_far_times_have_slots_of_their_own():
+    """A hot entity's history of any age spreads over slots; all of time has a bounded number of parts."""
+    for year in (900, 1200, 1810, 1935, 1970, 1999, 2050, 2900):
+        t = (year - 1970) * 31_556_952
+        assert len({slot_of(t + i * 86_400, 24) for i in range(3_650)}) >= 18
+    assert len(list(_cut(-(2**62), 2**62, 24, 2**62))) < 4_200 and len(list(_cut(EVEN - 5, 2**62, 24, EVEN + 9))) == 2
+
+
 INTERVALS = st.lists(st.tuples(st.integers(0, 60), st.integers(1, 12)).map(lambda p: (p[0], p[0] + p[1])), max_size=40)
 
 
