@@ -100,3 +100,16 @@ def hot_keys(df: DataFrame, key: str, weight: str | None, least: int, most: int)
         .orderBy(F.desc("__size"), F.col(key)).limit(most)
     )
     return [tuple(r) for r in found.collect()]
+
+
+def pairs_within(df: DataFrame, group: list[str], item: str, block: int) -> DataFrame:
+    """group, ``<item>_a`` < ``<item>_b``: all pairs of a group's distinct items, ``df`` having each once.
+
+    The items of a group are dealt into blocks of about ``block``, and each block meets the whole group in a key of its
+    own, so no task has all pairs of a large group.
+    """
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).alias("__blocks"))
+    held = df.select(*group, item).join(sizes, group)
+    left = held.select(*group, F.col(item).alias(f"{item}_a"), F.pmod(F.xxhash64(item), "__blocks").alias("__block"))
+    right = held.select(*group, F.col(item).alias(f"{item}_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"))
+    return left.join(right, [*group, "__block"]).where(F.col(f"{item}_a") < F.col(f"{item}_b")).drop("__block")

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark import SparkFiles
 
-from tessera.plans.shared import ensure_checkpoint_dir, hot_keys, own_folder, scratch, share, store
+from tessera.plans.shared import ensure_checkpoint_dir, hot_keys, own_folder, pairs_within, scratch, share, store
 from tests.conftest import rows
 
 
@@ -41,3 +41,9 @@ def test_shared_bytes_reach_every_task(spark):
 def test_hot_keys(spark):
     df = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1), (None, 9), ("c", 20)], "k string, n int")
     assert hot_keys(df, "k", None, 2, 9) == [("a", 2)] and hot_keys(df, "k", "n", 11, 9) == [("c", 20), ("a", 11)] and hot_keys(df, "k", "n", 1, 1) == [("c", 20)]
+
+
+def test_pairs_within_groups(spark):
+    data = [(g, i) for g, n in (("a", 40), ("b", 1), ("c", 2)) for i in range(n)]
+    found = rows(pairs_within(spark.createDataFrame(data, "g string, i int").repartition(3), ["g"], "i", 7))
+    assert found == sorted(((g, i, j) for g, i in data for h, j in data if g == h and i < j), key=repr)
