@@ -1,11 +1,14 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
 1. All texts are split into words by the tokenizer's pattern and counted over the whole corpus.
-2. The most frequent words are encoded once and compiled into a minimal acyclic transducer (:mod:`.lexicon`), a file in
-   the shared folder that every task memory-maps.
+2. The most frequent words are encoded once and compiled into a minimal acyclic transducer (:mod:`.lexicon`), a file that
+   every executor fetches from the shared folder and every task memory-maps.
 3. Each text is split again; its words are looked up in the transducer, and words it lacks are merged exactly, by the
    tokenizer's own ranks. So the result never depends on which words were frequent.
 
+Both passes cut a text before each space that something visible follows, where the pattern cannot but begin a word, and
+split a repeated piece only once.
+
 Defined results: a null or empty text has an empty list; every row has one, repeated rows too; strings of special tokens
 are ordinary text; very long texts and words are encoded whole; other columns are ignored.
 """
@@ -14,8 +17,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import os
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
@@ -23,11 +24,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.lexicon import Builder, Lexicon
-from tessera.plans.shared import cut, ensure_checkpoint_dir
+from tessera.plans.shared import share, store
 
 #: Where the vocabulary files are, and which one is used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -37,8 +39,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEXICON_WORDS, WORD_BYTES = 50_000, 48
 #: Buckets of word counts for each doubling.
 BUCKETS = 16
-#: Characters of text worked on at a time.
-CHARACTERS = 4_000_000
+#: Characters of text worked on at a time, and pieces or words a task remembers at most, of which length.
+CHARACTERS, REMEMBERED, PIECE = 4_000_000, 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +86,28 @@ def splitter() -> Callable[[str], list[str]]:
     return regex.compile(PATTERN).findall
 
 
+def cutter() -> Callable[[str], list[str]]:
+    """Cuts a text into pieces whose words, one piece after the other, are the text's words.
+
+    Cuts are the spaces before anything visible: there the pattern takes the space with what follows, and white space
+    before it ends a word either way. A piece stands for itself with that space; the first has none, and is marked by one.
+    """
+    import regex
+
+    careful, odd = regex.compile(r" (?=\S)").split, regex.compile(r" (?:\s|$)").search
+
+    def cut(text: str) -> list[str]:
+        pieces = careful(text) if odd(text) else text.split(" ")
+        pieces[0] = " " + pieces[0]
+        return pieces
+
+    return cut
+
+
+def said(piece: str) -> str:
+    return piece[1:] if piece.startswith(" ") else " " + piece
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
     """The texts, null as empty, in runs of a bounded size."""
     run, size = [], 0
@@ -98,7 +122,13 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, counts = splitter(), Counter()
+    split, cut, pieces, counts, size = splitter(), cutter(), Counter(), Counter(), 0
+
+    def resolve():
+        for piece, n in pieces.items():
+            for w in split(said(piece)):
+                counts[w] += n
+        pieces.clear()
 
     def out():
         words = [(w, n) for w, n in counts.items() if len(w.encode()) <= WORD_BYTES]
@@ -108,9 +138,14 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in _slices(batch.column(0).to_pylist()):
             for t in texts:
-                counts.update(split(t))
-            if len(counts) > 500_000:
-                yield out()
+                pieces.update(cut(t))
+                size += len(t)
+            if size >= 4 * CHARACTERS:  # no more than that is held in pieces
+                resolve()
+                size = 0
+                if len(counts) > 500_000:
+                    yield out()
+    resolve()
     yield out()
 
 
@@ -121,7 +156,7 @@ def frequent_words(texts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     driver gets those and no partition has to send it a ranking of its own.
     """
     words = texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_count_words, "word string, n long")
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("bucket", F.floor(F.log2("n") * BUCKETS).cast("int")))
+    counts = store(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("bucket", F.floor(F.log2("n") * BUCKETS).cast("int")))
     left, least = most, None
     for bucket, n in counts.groupBy("bucket").count().orderBy(F.desc("bucket")).collect():
         left -= n
@@ -138,27 +173,6 @@ def compile_lexicon(words: Iterable[str], encode: Callable[[str], list[int]]) ->
     return builder.buffer()
 
 
-class _Shared:
-    """A lexicon where all executors find it: a file of the shared folder, or a broadcast if that is no file system."""
-
-    def __init__(self, spark: SparkSession, buffer: bytes) -> None:
-        folder, self.path, self.held = ensure_checkpoint_dir(spark), None, None
-        if folder.startswith("file:") or "://" not in folder:
-            folder = "/" + folder.removeprefix("file:").lstrip("/")
-            os.makedirs(folder, exist_ok=True)
-            self.path = f"{folder}/lexicon-{blake2b(buffer, digest_size=12).hexdigest()}.bin"
-            if not os.path.exists(self.path):
-                part = f"{self.path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(buffer)
-                os.replace(part, self.path)
-        else:
-            self.held = spark.sparkContext.broadcast(buffer)
-
-    def open(self) -> Lexicon:
-        return Lexicon.map(self.path) if self.path else Lexicon(self.held.value)
-
-
 def _assemble(words: list[list[str]], ids: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids in one array, and where each text's begin and end, from each text's words and each word's ids."""
     number = {w: i for i, w in enumerate(ids)}
@@ -174,17 +188,47 @@ def _assemble(words: list[list[str]], ids: dict[str, list[int]]) -> tuple[np.nda
     return flat[at], bounds
 
 
-def _encode(shared: _Shared, ranks, columns: int, only_counts: bool):
+class _Pieces:
+    """The ids of pieces, by the words within; short ones are remembered."""
+
+    def __init__(self, lexicon: Lexicon, unseen: Callable[[str], list[int]]) -> None:
+        self.lexicon, self.unseen, self.split = lexicon, unseen, splitter()
+        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
+
+    def word(self, w: str) -> list[int]:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = self.lexicon.find(w.encode())
+            if ids is None:
+                ids = self.unseen(w)
+            if len(w) <= PIECE:
+                self.words[w] = ids
+        return ids
+
+    def ids(self, wanted: Iterable[str]) -> dict[str, list[int]]:
+        found = {}
+        for piece in wanted:
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = [i for w in self.split(said(piece)) for i in self.word(w)]
+                if len(piece) <= PIECE:
+                    self.pieces[piece] = ids
+            found[piece] = ids
+        for held in (self.pieces, self.words):
+            if len(held) > REMEMBERED:
+                held.clear()
+        return found
+
+
+def _encode(name: str, ranks, columns: int, only_counts: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, unseen, split = shared.open(), merger(ranks.value), splitter()
+        known, cut = _Pieces(Lexicon.map(SparkFiles.get(name)), merger(ranks.value)), cutter()
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(columns).to_pylist()):
-                words, ids = [split(t) for t in texts], {}
-                for w in set(chain.from_iterable(words)):
-                    found = lexicon.find(w.encode())
-                    ids[w] = unseen(w) if found is None else found
-                flat, bounds = _assemble(words, ids)
+                pieces = [cut(t) for t in texts]
+                flat, bounds = _assemble(pieces, known.ids(set(chain.from_iterable(pieces))))
                 values = pa.array(np.diff(bounds)) if only_counts else pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(columns)]
                 yield pa.RecordBatch.from_arrays([*kept, values], names=[*batch.schema.names[:columns], "out"])
@@ -197,8 +241,9 @@ def encode(df: DataFrame, keep: list[str], text: str, *, only_counts: bool = Fal
     """The columns ``keep`` and ``ids`` (list of int), or ``n_tokens`` with ``only_counts``, of every row."""
     spark, ranks = df.sparkSession, read_ranks(f"{folder}/{vocabulary}")
     rows = df.select(*keep, F.col(text).alias("text"))
-    shared = _Shared(spark, compile_lexicon(frequent_words(rows), merger(ranks)))
+    lexicon = compile_lexicon(frequent_words(rows), merger(ranks))
+    name = share(spark, f"lexicon-{blake2b(lexicon, digest_size=12).hexdigest()}.bin", lexicon)
     # The ranks are the vocabulary file, 50,256 entries.
-    run = _encode(shared, spark.sparkContext.broadcast(ranks), len(keep), only_counts)
+    run = _encode(name, spark.sparkContext.broadcast(ranks), len(keep), only_counts)
     kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
     return rows.mapInArrow(run, f"{kept}, out {'long' if only_counts else 'array<int>'}").withColumnRenamed("out", "n_tokens" if only_counts else "ids")

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import tokens
 from tessera.llm.lexicon import Builder, Lexicon
-from tessera.llm.tokens import TOKENIZERS, VOCABULARY, compile_lexicon, encode, merge, merger, read_ranks, splitter
+from tessera.llm.tokens import TOKENIZERS, VOCABULARY, compile_lexicon, cutter, encode, merge, merger, read_ranks, said, splitter
 from tests.conftest import rows
 
 RANKS = read_ranks(f"{TOKENIZERS}/{VOCABULARY}")
@@ -55,6 +55,14 @@ def test_own_merge_equals_the_compiled_one(word):
         assert merge(w.encode(), RANKS) == merger(RANKS)(w)
 
 
+@given(st.text(st.sampled_from("ab 's\n\t\u00a0\u3000\x1c\u200b12!用 "), max_size=40) | st.text(max_size=30))
+@settings(max_examples=1_500, deadline=None)
+def test_pieces_have_the_words_of_the_text(text):
+    split, pieces = splitter(), cutter()(text)
+    assert "".join(map(said, pieces)) == text
+    assert [w for p in pieces for w in split(said(p))] == split(text)
+
+
 @given(st.sets(st.binary(min_size=1, max_size=6), max_size=60), st.lists(st.binary(max_size=6), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_lexicon_holds_exactly_its_words(words, others):
