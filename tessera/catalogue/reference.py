@@ -18,7 +18,7 @@ from tessera.operators import integrate
 from tessera.plans import verdict
 from tessera.plans.acceptance import RETAIL_PACK, run_pack
 from tessera.plans.engine import Engine
-from tessera.plans.model import Model, lineage
+from tessera.plans.model import Model
 from tessera.sources.catalog import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,18 @@ def _frame(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLE[name] = sql
 
 
+def _values(schema: str, rows: list[tuple]) -> str:
+    """Rows as SQL, with the names and types of a schema."""
+    types = {"int": "integer", "long": "bigint", "string": "varchar", "boolean": "boolean", "double": "double"}
+    columns = [c.strip().split() for c in schema.split(",")]
+
+    def literal(v) -> str:
+        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+    shown = ", ".join(f'"{n}"::{types[t]} as "{n}"' for n, t in columns)
+    return f"select {shown} from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as t({', '.join(f'"{n}"' for n, _ in columns)})"
+
+
 def _overlap(a: str, b: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, at: integrate.overlap(engine(spark, at), a, b)
 
@@ -162,7 +174,6 @@ _frame("key_trial", lambda spark, at: integrate.key_trial(engine(spark, at), "cu
 for _rule, _sql in (("serial", _SERIAL.format("serial_no")), ("email", "lower(regexp_replace(serial_no, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'))"), ("phone", "regexp_replace(regexp_replace(serial_no, '[-\\s\\pZ]', '', 'g'), '^\\+?86', '', 'g')")):
     _frame(f"normalise_{_rule}", lambda spark, at, rule=_rule: read(spark, at, "device").select("dev_id", BY_NAME[rule].column(F.col("serial_no")).alias("normalised")), f"select dev_id, {_sql} as normalised from device")
 _frame("mask", lambda spark, at: read(spark, at, "customer").select("c_custkey", masked(F.col("c_name")).alias("c_name")), "select c_custkey, case when length(c_name) <= 6 then '******' else substring(c_name, 1, 4) || '******' || right(c_name, 2) end as c_name from customer")
-_frame("lineage", lambda spark, at: spark.createDataFrame([(x["object"], x["property"], x["table"], x["column"]) for x in lineage(engine(spark, at).model)], "object string, property string, table string, column string"), None)
 _frame("acceptance_pack", lambda spark, at: spark.createDataFrame([(o.question, o.ok) for o in run_pack(engine(spark, at), RETAIL_PACK)], "question string, ok boolean"),
        "select * from (values " + ", ".join(f"('{q['question']}', true)" for q in RETAIL_PACK) + ") as t(question, ok)")
 

@@ -1,8 +1,8 @@
 """Batches of actions: requests in, change sets out.
 
 A batch is a DataFrame of requests (``request_id``, ``identity`` and one column per parameter) for one action of a class.
-All requests are checked and planned together, by joins with the class frame; nothing loops over requests. Planning
-changes nothing. :meth:`Batch.ledger` compares the change sets with the tables as they are now, and :meth:`Batch.apply`
+All requests are checked and planned together, by joins with the class frame; nothing loops over requests. The requests
+beside their individuals are stored once, and all that follows is read from there. Planning changes nothing. :meth:`Batch.ledger` compares the change sets with the tables as they are now, and :meth:`Batch.apply`
 gives the tables after them:
 
 * an update names the key and the values it was planned on; where they differ now it is a ``conflict``, unless the new
@@ -22,16 +22,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.dates import format_utc, now_expression, request_literal
 from tessera.functions.ids import number_expression, snowflake_column
-from tessera.operators.classframe import Binding, ClassFrame
+from tessera.operators.classframe import Binding, ClassFrame, needed_sources
 from tessera.plans.errors import Rejected
 from tessera.plans.filters import check_shapes, is_block
 from tessera.plans.model import ObjectType, Source
+from tessera.plans.validate import effects
 from tessera.plans.predicates import Value, column_value, two_valued
+from tessera.plans.shared import store
 
 REQUEST = "request_id"
+#: Bits of a row's place within its partition in the numbers Spark gives rows.
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """The rows, stored, with their place in the order of a column: sorted range by range, the ranges' sizes added up."""
+    held = store(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = held.groupBy(F.shiftright("__at", PLACE_BITS).cast("int").alias("__part")).count().orderBy("__part").collect()
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, n) in enumerate(sizes)]
+    # One row for each partition of the sort.
+    offsets = df.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    found = held.withColumn("__part", F.shiftright("__at", PLACE_BITS).cast("int")).join(F.broadcast(offsets), "__part", "left")
+    return found.withColumn(name, place + F.coalesce("__before", F.lit(0))).drop("__part", "__at", "__before")
 
 
 @dataclass
@@ -92,21 +109,23 @@ class Batch:
             at = (c.source.connection, c.source.table)
             now = tables.get(at, self.table(c.source))
             key = F.col(f"`{c.key_column}`")
-            rows = self._judged(c).where(F.col("outcome") == "applied")
             if c.op == "insert":
+                rows = self._judged(c).where(F.col("outcome") == "applied")
                 given = {x: F.col(f"new_{i}") for i, x in enumerate(c.columns)}
                 new = rows.select(*((given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in now.schema))
                 tables[at] = now.unionByName(new)
                 continue
-            gone = rows.select(F.col("key").alias("__key"), *(F.col(f"new_{i}").alias(f"__new_{i}") for i in range(len(c.columns))))
-            same = key.cast(rows.schema["key"].dataType) == F.col("__key")
+            same = key.cast(c.rows.schema["key"].dataType) == F.col("__key")
             if c.op == "delete":
-                tables[at] = now.join(gone, same, "left_anti")
+                tables[at] = now.join(c.rows.select(F.col("key").alias("__key")), same, "left_anti")
                 continue
-            # Two updates of one key in a batch agree (the axiom check) or are the same; one is enough.
-            new = now.join(gone.dropDuplicates(["__key"]), same, "left")
+            # Each row that still has the values its change was planned on; two updates of one key in a batch agree (the
+            # axiom check) or are the same, so one is enough.
+            changed = c.rows.select(F.col("key").alias("__key"), *(F.col(f"{side}_{i}").alias(f"__{side}_{i}") for i in range(len(c.columns)) for side in ("old", "new"))).dropDuplicates(["__key"])
             index = {x: i for i, x in enumerate(c.columns)}
-            tables[at] = new.select(*((F.when(F.col("__key").isNotNull(), F.col(f"__new_{index[f.name]}").cast(f.dataType)).otherwise(F.col(f"`{f.name}`")) if f.name in index else F.col(f"`{f.name}`")).alias(f.name) for f in now.schema))
+            valid = reduce(Column.__and__, [F.col("__key").isNotNull(), *(F.col(f"`{x}`").eqNullSafe(F.col(f"__old_{i}")) for x, i in index.items())])
+            new = now.join(changed, same, "left").withColumn("__valid", valid)
+            tables[at] = new.select(*((F.when(F.col("__valid"), F.col(f"__new_{index[f.name]}").cast(f.dataType)).otherwise(F.col(f"`{f.name}`")) if f.name in index else F.col(f"`{f.name}`")).alias(f.name) for f in now.schema))
         return tables
 
 
@@ -126,19 +145,34 @@ class Planner:
             raise Rejected("requests have request_id and identity")
         self.parameters = [c for c in requests.columns if c not in (REQUEST, "identity")]
         renamed = requests.select(REQUEST, F.col("identity").alias("r__identity"), *(F.col(f"`{p}`").alias(f"r__{p}") for p in self.parameters))
-        # Sequential identifiers number the requests in order, the same on every attempt; nothing else needs that sort.
-        sequential = any(isinstance(i, dict) and i.get("snowflake") for o in model.object_types.values() for p in o.properties.values() for i in p.generate)
-        self.requests = renamed.withColumn("r__row", F.row_number().over(Window.orderBy(REQUEST)).cast("long") - 1 if sequential else F.lit(0).cast("long"))
+        # Sequential identifiers number the requests in order, the same on every attempt; nothing else needs that.
+        self.requests = numbered(renamed, REQUEST, "r__row") if self._sequential() else renamed.withColumn("r__row", F.lit(0).cast("long"))
         binding.identity = column_value(F.col("r__identity"), renamed.schema["r__identity"].dataType)
         binding.request = {p: column_value(F.col(f"r__{p}"), renamed.schema[f"r__{p}"].dataType) for p in self.parameters}
 
+    def _sequential(self) -> bool:
+        """Whether an effect of this action makes sequential identifiers."""
+        for _, spec in effects(self.action, "create", "update"):
+            for p, v in (spec.get("properties") or {}).items():
+                made = self.model.object(spec["object"]).properties.get(p) if isinstance(v, dict) and v.get("from") == "generated" else None
+                if made is not None and any(isinstance(i, dict) and i.get("snowflake") for i in made.generate):
+                    return True
+        return False
+
     def _frame(self) -> ClassFrame:
         """Requests beside the individuals they name, absent ones with no source present."""
-        frame = ClassFrame(self.binding, self.cls.name)
+        # An individual that cannot meet the precondition may as well be absent: it is rejected either way.
+        required, absent = needed_sources(self.cls, self.action.get("pre") or {})
+        frame = ClassFrame(self.binding, self.cls.name, required=required, absent=absent)
         frame.certain = False
-        wanted = self.requests.select(F.col("r__identity").cast("string").alias("__wanted")).distinct()
-        near = frame.df.join(wanted, frame.key.cast("string") == F.col("__wanted"), "left_semi")
-        frame.df = self.requests.join(near, F.col("r__identity").cast("string") == frame.key.cast("string"), "left")
+        named, key = F.col("r__identity"), frame.key
+        if self.requests.schema["r__identity"].dataType != frame.df.schema[frame.tag + "key"].dataType:
+            named, key = named.cast("string"), key.cast("string")
+        near = frame.df
+        if len(self.cls.sources) == 1:
+            # Nothing has brought its rows together by key yet, so few requests leave most of them where they are.
+            near = near.join(self.requests.select(named.alias("__wanted")).distinct(), key == F.col("__wanted"), "left_semi")
+        frame.df = self.requests.join(near, named == key, "left")
         frame.df = frame.df.withColumns({f"{frame.tag}s_{i}": F.coalesce(F.col(f"{frame.tag}s_{i}"), F.lit(False)) for i in range(len(self.cls.sources))})
         return frame
 
@@ -238,6 +272,14 @@ class Planner:
     def _present(self, frame: ClassFrame, s: Source) -> DataFrame:
         return frame.df.where(F.col(f"{frame.tag}s_{frame._index[s.name]}"))
 
+    def _fit(self, cls: ObjectType, s: Source, p: str, value: Column) -> Column:
+        """A value as a source writes it: seconds of a date become a UTC text where its column holds texts."""
+        column = self.binding.table(s).schema[s.fields[p]].dataType
+        if cls.properties[p].type != "date" or not isinstance(column, T.StringType):
+            return value
+        text = value.cast("string")
+        return F.when(text.rlike(r"^-?\d{1,12}$"), format_utc(text.cast("long"), "yyyy-MM-dd HH:mm:ss")).otherwise(text)
+
     def _key(self, frame: ClassFrame, s: Source) -> Column:
         return frame.from_source(s.name, frame.cls.key_of(s)).column
 
@@ -247,9 +289,9 @@ class Planner:
         carriers = [s for s in frame.cls.sources.values() if all(p in s.fields for p in spec["properties"])]
         if not carriers:
             raise Rejected(f"no source of {frame.cls.name} maps all that is changed")
-        new = [self.value(v, p, frame, frame.cls).alias(f"new_{i}") for i, (p, v) in enumerate(spec["properties"].items())]
+        new = {p: self.value(v, p, frame, frame.cls) for p, v in spec["properties"].items()}
         return [
-            Change("update", frame.cls, s, self._present(frame, s).select(REQUEST, self._key(frame, s).alias("key"), *new, *(frame.from_source(s.name, p).column.alias(f"old_{i}") for i, p in enumerate(spec["properties"]))), [s.fields[p] for p in spec["properties"]])
+            Change("update", frame.cls, s, self._present(frame, s).select(REQUEST, self._key(frame, s).alias("key"), *(self._fit(frame.cls, s, p, c).alias(f"new_{i}") for i, (p, c) in enumerate(new.items())), *(frame.from_source(s.name, p).column.alias(f"old_{i}") for i, p in enumerate(spec["properties"]))), [s.fields[p] for p in spec["properties"]])
             for s in carriers
         ], frame
 
@@ -267,7 +309,7 @@ class Planner:
                 continue
             key = values.get(cls.key_of(s), F.lit(None).cast("string"))
             names = [p for p in s.fields if p in values]
-            found.append(Change("insert", cls, s, accepted.df.select(REQUEST, key.alias("key"), *(values[p].alias(f"new_{i}") for i, p in enumerate(names))), [s.fields[p] for p in names]))
+            found.append(Change("insert", cls, s, accepted.df.select(REQUEST, key.alias("key"), *(self._fit(cls, s, p, values[p]).alias(f"new_{i}") for i, p in enumerate(names))), [s.fields[p] for p in names]))
         if not found:
             raise Rejected(f"no source of {cls.name} maps all that is set")
         return found
@@ -329,11 +371,11 @@ class Planner:
             test = two_valued(frame.predicate(pre))
         else:
             test = F.lit(True)
-        frame.df = frame.df.withColumn("r__ok", test)
+        frame.df = store(frame.df.withColumn("r__ok", test))
         rejected = [frame.df.where(~F.col("r__ok")).select(REQUEST, F.lit("pre").alias("stage"), F.lit("the precondition does not hold").alias("reason"))]
         frame.df = frame.df.where("r__ok")
         # Effect filters are ordinary ones: what only preconditions may read is out of reach there.
-        changes, lines, updates = [], [], []
+        changes, lines, updates, apart = [], [], [], len(self.action["effect"]) > 1
         for n, item in enumerate(self.action["effect"]):
             (kind, spec), = item.items()
             if kind == "create":
@@ -348,7 +390,10 @@ class Planner:
             else:
                 made, target = (self.update if kind == "update" else self.delete)(spec, frame)
                 exists = target.df.where(target.exists())
-                if getattr(target, "shared", False):
+                apart |= target is not frame
+                if target is frame:
+                    missing = frame.df.where(~frame.exists())
+                elif getattr(target, "shared", False):
                     missing = frame.df.select(REQUEST).where(exists.agg(F.count(F.lit(1))).scalar() == 0)
                 else:
                     missing = frame.df.select(REQUEST).join(exists.select(REQUEST), REQUEST, "left_anti")
@@ -357,11 +402,15 @@ class Planner:
                 if kind == "update":
                     updates.append((spec, target, exists))
             changes += made
-        rejected += self._axioms(updates)
+        clashes = self._axioms(updates)
+        rejected += clashes
         bad = reduce(DataFrame.unionByName, rejected).groupBy(REQUEST).agg(F.min(F.struct(F.when(F.col("stage") == "pre", 0).when(F.col("stage") == "effect", 1).otherwise(2).alias("rank"), "stage", "reason")).alias("first"))
         bad = bad.select(REQUEST, "first.stage", "first.reason")
-        for c in changes:
-            c.rows = c.rows.join(bad.select(REQUEST), REQUEST, "left_anti")
+        if len(rejected) > 1 and (apart or clashes):
+            # Otherwise what is rejected has no rows here: neither precondition nor individual.
+            bad = store(bad)
+            for c in changes:
+                c.rows = c.rows.join(bad.select(REQUEST), REQUEST, "left_anti")
         accepted = self.requests.join(bad.select(REQUEST), REQUEST, "left_anti")
         return Batch(accepted.select(REQUEST, F.col("r__identity").alias("identity")), bad, changes, self._notifications(frame, lines, bad), self.binding.table)
 

@@ -1,8 +1,9 @@
 """Class frames: the rows of several sources aligned into one row per individual.
 
 For each source, in order: rows with a blank key are dropped, of several rows with one key the first (by ``order_by``,
-else by all columns) is kept, and the row is marked present. The sources are joined on the key by full outer joins, or by
-inner and left joins where the filter needs a source to be present, which keeps filters on that source below the join.
+else by the columns the class maps) is kept, and the row is marked present. The sources are joined on the key by full outer
+joins, or by inner and left joins where the filter needs a source to be present, which keeps filters on that source below
+the join. A source that the filter needs to be absent is an anti join on its keys; nothing else of it is read.
 
 A property's value is that of the first source in order that maps it **and has a row**, even if that value is null; only
 a missing row falls through. A property no present source maps is undefined, and no condition holds on it.
@@ -65,7 +66,7 @@ def _key_column(c: Column, t: T.DataType, to: str) -> Column:
 class ClassFrame:
     """The individuals of a class. Columns: ``key``, ``s_<i>`` (presence) and ``v_<i>_<property>`` of each source."""
 
-    def __init__(self, binding: Binding, name: str, *, identity: Value | None = None, required: set[str] = frozenset(), link_depth: int = 0) -> None:
+    def __init__(self, binding: Binding, name: str, *, identity: Value | None = None, required: set[str] = frozenset(), absent: set[str] = frozenset(), link_depth: int = 0) -> None:
         self.binding, self.model = binding, binding.model
         self.cls: ObjectType = self._object(name)
         self.link_depth = link_depth
@@ -76,7 +77,7 @@ class ClassFrame:
         self.certain = True
         self._made: dict[str, tuple[Value, Column]] = {}
         self._index = {s: i for i, s in enumerate(self.cls.sources)}
-        self.df = self._align(identity, required)
+        self.df = self._align(identity, required, absent)
 
     def _object(self, name: str) -> ObjectType:
         if name not in self.model.object_types:
@@ -87,7 +88,7 @@ class ClassFrame:
     def key(self) -> Column:
         return F.col(self.tag + "key")
 
-    def _align(self, identity: Value | None, required: set[str]) -> DataFrame:
+    def _align(self, identity: Value | None, required: set[str], absent: set[str]) -> DataFrame:
         cls, tag = self.cls, self.tag
         tables, key_types = {}, []
         for s in cls.sources.values():
@@ -105,7 +106,7 @@ class ClassFrame:
         if not tables:
             return self.binding.spark.createDataFrame([], T.StructType([T.StructField(tag + "key", T.StringType())]))
         to = "string" if cls.rows_only else _key_type(key_types)
-        parts = []
+        parts, gone = [], []
         for name, table in tables.items():
             s, i = cls.sources[name], self._index[name]
             values = [F.col(f"`{c}`").alias(f"{tag}v_{i}_{p}") for p, c in s.fields.items()]
@@ -120,11 +121,15 @@ class ClassFrame:
                 same = compare(column_value(own, table.schema[column].dataType), "eq", identity, False)
                 rows = rows.where(same if to != "string" or isinstance(table.schema[column].dataType, T.StringType) else own.cast("string") == identity.column.cast("string"))
             key = _key_column(own, table.schema[column].dataType, to).alias(tag + "key")
+            if name in absent:
+                gone.append((name, rows.select(key)))
+                continue
             if not s.unique:
                 # The least row of a key, combined before the shuffle; only the ordering and mapped columns are read.
-                order = s.order_by or sorted(table.columns)
-                ordered = F.struct(*(F.col(f"`{c}`").alias(f"o{n}") for n, c in enumerate(order)), *values)
-                rows = rows.groupBy(key).agg(F.min(ordered).alias("first")).select(tag + "key", F.lit(True).alias(f"{tag}s_{i}"), *(F.col("first")[f"{tag}v_{i}_{p}"].alias(f"{tag}v_{i}_{p}") for p in s.fields))
+                order = list(s.order_by or sorted(set(s.fields.values())))
+                order += [c for c in dict.fromkeys(s.fields.values()) if c not in order]
+                ordered = F.struct(*(F.col(f"`{c}`").alias(f"o{n}") for n, c in enumerate(order)))
+                rows = rows.groupBy(key).agg(F.min(ordered).alias("first")).select(tag + "key", F.lit(True).alias(f"{tag}s_{i}"), *(F.col("first")[f"o{order.index(c)}"].alias(f"{tag}v_{i}_{p}") for p, c in s.fields.items()))
             else:
                 rows = rows.select(key, F.lit(True).alias(f"{tag}s_{i}"), *values)
             parts.append((name, rows))
@@ -136,6 +141,12 @@ class ClassFrame:
         for name, rows in parts[1:]:
             how.append("inner" if name in required else "left" if required else "full")
             df = df.join(rows, tag + "key", how[-1])
+        for name, keys in gone:
+            s, i = cls.sources[name], self._index[name]
+            df = df.join(keys, tag + "key", "left_anti")
+            df = df.withColumns({f"{tag}s_{i}": F.lit(False)} | {f"{tag}v_{i}_{p}": F.lit(None).cast(self.types[f"{name}.{p}"]) for p in s.fields})
+            how.append("anti")
+            parts.append((name, keys))
         if len(parts) > 1:
             df = df.withColumns({f"{tag}s_{i}": F.coalesce(F.col(f"{tag}s_{i}"), F.lit(False)) for i in self._index.values()})
         self.binding.notes.append(f"{cls.name}: {', '.join(f'{n} ({len(cls.sources[n].fields)} columns)' for n, _ in parts)}" + (f"; joined {', '.join(how)}" if how else ""))
@@ -338,8 +349,8 @@ class ClassFrame:
             for pair in hop.pairs:
                 if pair[1] in filter_:
                     raise Rejected(f"{hop.link.name} already pairs {pair[1]!r}; a filter on it has no place there")
-        required = required_sources(self.model, self.model.object(hop.target), filter_ or {})
-        frame = ClassFrame(self.binding, hop.target, required=required, link_depth=self.link_depth + 1)
+        required, absent = needed_sources(self.model.object(hop.target), filter_ or {})
+        frame = ClassFrame(self.binding, hop.target, required=required, absent=absent, link_depth=self.link_depth + 1)
         if filter_:
             frame.where(filter_)
         return frame
@@ -403,10 +414,11 @@ class ClassFrame:
             self.df = self.df.join(right, on, "left_anti" if target is False else "left_semi")
 
 
-def required_sources(model: Model, cls: ObjectType, filter_: dict) -> set[str]:
-    """Sources without which the filter cannot hold: those that alone map a filtered property, or that every rule of the
-    filtered stage needs."""
-    found: set[str] = set()
+def needed_sources(cls: ObjectType, filter_: dict) -> tuple[set[str], set[str]]:
+    """Sources whose presence, and whose absence, the filter cannot hold without: those that alone map a filtered property,
+    and what every rule of the filtered stage needs. None need be absent unless some need be present."""
+    here: set[str] = set()
+    gone: set[str] = set()
     for key, value in filter_.items():
         p = cls.properties.get(key)
         if p is None:
@@ -414,9 +426,12 @@ def required_sources(model: Model, cls: ObjectType, filter_: dict) -> set[str]:
         if p.derived is None:
             mapped = cls.mapped(key)
             if len(mapped) == 1:
-                found.add(mapped[0].name)
-        elif p.rules is not None and not isinstance(value, (dict, list)):
-            needs = [{s for s, test in r["when"].items() if test is not False} for r in p.rules if r["value"] == value]
-            if needs:
-                found |= set.intersection(*needs) & set(cls.sources)
-    return found if len(cls.sources) > 1 else set()
+                here.add(mapped[0].name)
+        elif p.rules is not None and value is not None and not isinstance(value, (dict, list)):
+            rules = [r["when"] for r in p.rules if r["value"] == value]
+            if rules:
+                here |= set.intersection(*({s for s, test in r.items() if test is not False} for r in rules)) & set(cls.sources)
+                gone |= set.intersection(*({s for s, test in r.items() if test is False} for r in rules)) & set(cls.sources)
+    if len(cls.sources) < 2 or cls.rows_only:
+        return set(), set()
+    return here, gone - here if here else set()

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.actions import Batch, bind_action, waves
 from tessera.operators.classframe import Binding
-from tessera.plans.errors import Rejected
+from tessera.plans.leftout import left_out
 from tessera.plans.model import Model, Source
 from tessera.plans.query import MOST_ROWS, Result, run_query
+from tessera.plans.shared import store
 from tessera.plans.validate import check_model
 from tessera.sources.catalog import Sources, frames
 
@@ -42,20 +43,27 @@ class Engine:
         """All rows of a request, without the limit of the request interface."""
         return self.query(request, most=None).df
 
+    def left_out(self, request: dict) -> DataFrame:
+        """What the class or the aggregate of a request leaves out: object, source, reason, n."""
+        return left_out(self.binding(), request)
+
     def plan_actions(self, cls: str, action: str, requests: DataFrame) -> Batch:
         """Checks and plans a batch of requests; changes nothing."""
         return bind_action(self.binding(), cls, action, requests)
 
-    def run_actions(self, cls: str, action: str, requests: DataFrame, most_waves: int = 100) -> tuple[Engine, list[Batch]]:
-        """Plans and applies a batch, in waves where an identity repeats; an engine over the changed tables, and the batches."""
-        ordered, engine, done = waves(requests), self, []
+    def run_actions(self, cls: str, action: str, requests: DataFrame) -> tuple[Engine, list[Batch]]:
+        """Plans and applies a batch, in waves where an identity repeats; an engine over the changed tables, and the batches.
+
+        What a wave changes is stored before the next is planned, so the plans of all waves are alike. Many requests on one
+        identity take as many waves, since each depends on the one before.
+        """
+        ordered, engine, done = store(waves(requests)), self, []
         last = ordered.agg({"wave": "max"}).first()[0] or 0
-        if last > most_waves:
-            raise Rejected(f"one identity has {last} requests; a batch may have {most_waves}")
         for n in range(1, last + 1):
             batch = engine.plan_actions(cls, action, ordered.where(ordered.wave == n).drop("wave"))
             done.append(batch)
-            engine = engine.with_tables(batch.apply())
+            changed = batch.apply()
+            engine = engine.with_tables(changed if last == 1 else {at: store(df) for at, df in changed.items()})
         return engine, done
 
     def with_tables(self, tables: dict[tuple[str, str], DataFrame]) -> Engine:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import request_literal
-from tessera.operators.classframe import Binding, ClassFrame, required_sources
+from tessera.operators.classframe import Binding, ClassFrame, needed_sources
 from tessera.plans.errors import Rejected
 from tessera.plans.filters import MOST_DEPTH, check_shapes
 from tessera.plans.predicates import literal_value
@@ -170,8 +170,8 @@ def run_query(binding: Binding, request: dict, *, most: int | None = MOST_ROWS)
         plain = request_literal(named, binding.clock) if not isinstance(named, str) else named
         binding.identity = identity = literal_value(plain)
     filter_ = request.get("filter") or {}
-    required = required_sources(binding.model, binding.model.object(cls), filter_)
-    frame = ClassFrame(binding, cls, identity=identity, required=required)
+    required, absent = needed_sources(binding.model.object(cls), filter_)
+    frame = ClassFrame(binding, cls, identity=identity, required=required, absent=absent)
     if frame.cls.rows_only and (request.get("expand") or not request.get("aggregate")) and named is not None:
         raise Rejected(f"{cls} has no key to name one row by")
     frame.where(filter_)

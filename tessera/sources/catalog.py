@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +67,23 @@ def property_type(t: T.DataType) -> str:
 def files(spark: SparkSession, folder: str, format: str = "parquet", **options) -> Connection:
     """A folder with one file (or folder of files) per table: ``<table>.<format>``."""
 
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)  # a local folder, an object store, whatever the address says
+
     def names() -> list[str]:
-        return sorted(p.stem for p in Path(folder).glob(f"*.{format}"))
+        found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n.removesuffix(f".{format}") for n in found if n.endswith(f".{format}"))
 
     def read(table: str) -> DataFrame:
         return spark.read.format(format).options(**options).load(f"{folder}/{table}.{format}")
 
-    side = Path(folder) / "comments.json"
-    return Connection(read, names, read_comments(side)[1])
+    side, text = jvm.org.apache.hadoop.fs.Path(at, "comments.json"), None
+    if fs.exists(side):
+        stream = fs.open(side)
+        text = bytes(stream.readAllBytes())
+        stream.close()
+    return Connection(read, names, read_comments(text)[1])
 
 
 def frames(tables: dict[str, DataFrame]) -> Connection:
@@ -87,25 +97,77 @@ def frames(tables: dict[str, DataFrame]) -> Connection:
     return Connection(read, lambda: sorted(tables))
 
 
-def jdbc(spark: SparkSession, url: str, tables: Iterable[str], *, timeout_s: int = 10, **options) -> Connection:
-    """Tables of a database, by the JDBC driver on the class path; filters, columns, limits and aggregates are pushed down.
+def jdbc(spark: SparkSession, url: str, tables: Iterable[str] | None = None, *, schema: str | None = None, timeout_s: int = 10, read_options: dict | None = None, **options) -> Connection:
+    """Tables of a database, by the JDBC driver on the class path; filters, columns, limits, orders and aggregates are
+    pushed down, in the database's own dialect.
 
-    Give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` among the options to read in parallel.
+    The database itself is asked for its tables, keys, unique columns and comments. ``options`` connect (``driver``, ``user``,
+    ``password``); give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` as ``read_options`` to read
+    in parallel. Tables are read through a catalog of the session, since only those push aggregates.
     """
-    listed = sorted(tables)
+    catalog = f"tessera_{blake2b(url.encode(), digest_size=8).hexdigest()}"
+    settings = {"": "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog", ".url": url, ".queryTimeout": str(timeout_s), ".pushDownAggregate": "true", ".pushDownLimit": "true", ".pushDownOffset": "true"}
+    for k, v in (settings | {f".{k}": v for k, v in options.items()}).items():
+        spark.conf.set(f"spark.sql.catalog.{catalog}{k}", v)
+    schemas, comments, unique, primary = described(spark, url, schema, **options)
+    listed = sorted(tables) if tables is not None else sorted(schemas)
 
     def read(table: str) -> DataFrame:
-        return spark.read.format("jdbc").options(url=url, dbtable=table, queryTimeout=str(timeout_s), pushDownAggregate="true", pushDownLimit="true", **options).load()
-
-    return Connection(read, lambda: listed)
-
-
-def read_comments(path: Path) -> tuple[str, dict]:
+        if table not in schemas:
+            raise SourceFault(f"there is no table {table!r}")
+        parts = [catalog, *([schemas[table]] if schemas[table] else []), table]
+        return spark.read.options(**(read_options or {})).table(".".join(f"`{p}`" for p in parts))
+
+    return Connection(read, lambda: listed, comments, unique, primary)
+
+
+def described(spark: SparkSession, url: str, schema: str | None = None, **options) -> tuple[dict, dict, dict, dict]:
+    """A database's tables with their schemas, comments by table and column, unique columns and primary keys of one column."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        if k in ("user", "password"):
+            properties.setProperty(k, v)
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    held = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        about = held.getMetaData()
+
+        def rows(found, *columns: str) -> list[tuple]:
+            out = []
+            while found.next():
+                out.append(tuple(found.getString(c) for c in columns))
+            found.close()
+            return out
+
+        kinds = gateway.new_array(jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        schemas, comments, unique, primary = {}, {}, {}, {}
+        for name, schema in rows(about.getTables(None, schema, "%", kinds), "TABLE_NAME", "TABLE_SCHEM"):
+            schemas[name] = schema
+            comments[name] = {c: r for c, r in rows(about.getColumns(None, schema, name, "%"), "COLUMN_NAME", "REMARKS") if r}
+            keys = [c for (c,) in rows(about.getPrimaryKeys(None, schema, name), "COLUMN_NAME")]
+            if len(keys) == 1:
+                primary[name] = keys[0]
+            indexes: dict[str, list[str]] = {}
+            for index, column in rows(about.getIndexInfo(None, schema, name, True, True), "INDEX_NAME", "COLUMN_NAME"):
+                if column:
+                    indexes.setdefault(index, []).append(column)
+            for columns in indexes.values():
+                if len(columns) == 1:
+                    unique.setdefault(name, set()).add(columns[0])
+        return schemas, comments, unique, primary
+    finally:
+        held.close()
+
+
+def read_comments(text: bytes | None) -> tuple[str, dict]:
     """Column comments beside a source: ``missing``, ``ok`` or ``corrupt``, and the comments."""
-    if not path.exists():
+    if text is None:
         return "missing", {}
     try:
-        found = json.loads(path.read_text())
+        found = json.loads(text)
         return ("ok", found) if isinstance(found, dict) else ("corrupt", {})
     except ValueError:
         return "corrupt", {}

@@ -1,7 +1,7 @@
 """SQLite files as a Spark data source, for reading and for writing change sets back.
 
-``spark.read.format("sqlite_file").options(path=..., table=...)`` reads a table in parallel by ranges of its row ids;
-comparisons of columns with constants are pushed into the statement each task runs. The file must be where the
+``spark.read.format("sqlite_file").options(path=..., table=...)`` reads a table in parallel by ranges of its row ids,
+each of as many rows however far apart the ids lie; a table without row ids is read as one. Comparisons of columns with constants are pushed into the statement each task runs. The file must be where the
 executors can read it. Writing goes through :func:`write_back`, one statement per change, since a file has one writer.
 """
 
@@ -20,8 +20,8 @@ from tessera.operators.actions import Batch
 from tessera.plans.errors import SourceFault
 from tessera.sources.catalog import Connection
 
-#: Rows of a partition.
-PARTITION_ROWS = 500_000
+#: Rows of a partition, and partitions at most.
+PARTITION_ROWS, MOST_PARTITIONS = 500_000, 1_000
 CONDITIONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -71,8 +71,10 @@ def condition(f: Filter) -> tuple[str, list] | None:
 
 @dataclass
 class Range(InputPartition):
-    lo: int
-    hi: int
+    """Row ids from ``lo`` to ``hi``; None: all rows, whatever tells them apart."""
+
+    lo: int | None
+    hi: int | None
 
 
 class Reader(DataSourceReader):
@@ -96,17 +98,23 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         with _open(self.path) as c:
-            lo, hi = c.execute(f"select min(rowid), max(rowid) from {quoted(self.table)}").fetchone()
-        if lo is None:
-            return [Range(0, -1)]
-        return [Range(a, min(a + self.rows - 1, hi)) for a in range(lo, hi + 1, self.rows)]
+            try:
+                last, n = c.execute(f"select max(rowid), count(*) from {quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                return [Range(None, None)]  # there are no row ids
+            of = max(self.rows, -(-n // MOST_PARTITIONS))
+            # Every so many rows, however their ids are spread.
+            first = [r[0] for r in c.execute(f"select id from (select rowid as id, row_number() over (order by rowid) as nth from {quoted(self.table)}) where nth % ? = 1 % ? order by id", [of, of])]
+        return [Range(a, b - 1) for a, b in zip(first, [*first[1:], last + 1])] if n else [Range(0, -1)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         kinds = [f.dataType for f in self.columns]
-        tests = " and ".join(["rowid between ? and ?", *(w for w, _ in self.where)])
-        values = [partition.lo, partition.hi, *(v for _, vs in self.where for v in vs)]
+        tests, values = [w for w, _ in self.where], [v for _, vs in self.where for v in vs]
+        if partition.lo is not None:
+            tests, values = ["rowid between ? and ?", *tests], [partition.lo, partition.hi, *values]
+        where = f" where {' and '.join(tests)}" if tests else ""
         with _open(self.path) as c:
-            for row in c.execute(f"select {', '.join(quoted(f.name) for f in self.columns)} from {quoted(self.table)} where {tests}", values):
+            for row in c.execute(f"select {', '.join(quoted(f.name) for f in self.columns)} from {quoted(self.table)}{where}", values):
                 yield tuple(_value(v, k) for v, k in zip(row, kinds))
 
 

@@ -22,50 +22,50 @@ def ledger(batch):
 
 
 def test_update_by_identity_and_rejections(spark, e):
-    batch = e.plan_actions("equipment", "transfer", requests(spark, (1, "EQ-40090", "D05"), (2, "EQ-40091", "D99"), (3, "EQ-40001", "D05"), (4, "nothing", "D05"), (5, "EQ-40093", "D06")))
-    # 2: no such department, 3: in transit, 4: unknown, 5: there already (index 13 -> D06).
+    batch = e.plan_actions("equipment", "transfer", requests(spark, (1, "KX-5060", "D03"), (2, "KX-5061", "D99"), (3, "KX-5001", "D03"), (4, "nothing", "D03"), (5, "KX-5063", "D02")))
+    # 2: no such department, 3: in transit, 4: unknown, 5: there already (the 14th device is in D02).
     assert sorted((r.request_id, r.stage) for r in batch.rejected.collect()) == [(2, "pre"), (3, "pre"), (4, "pre"), (5, "pre")]
-    assert ledger(batch) == [(1, "device", "update", "EQ-40090", "applied")]
+    assert ledger(batch) == [(1, "device", "update", "KX-5060", "applied")]
     after = e.with_tables(batch.apply())
-    assert after.rows({"object": "equipment", "identity": "EQ-40090", "properties": ["dept"]}).first().dept == "D05"
-    assert after.rows({"object": "equipment"}).count() == 193
+    assert after.rows({"object": "equipment", "identity": "KX-5060", "properties": ["dept"]}).first().dept == "D03"
+    assert after.rows({"object": "equipment"}).count() == len(world.ALL)
     event = batch.notifications.first()
-    assert event.properties == {"what": "EQ-40090", "act": "transfer", "event_id": "EQ-40090|transfer"} and event.to == ["desk"] and not event.delivered
-    assert [(x.op, x.object_class, x.target, x.line_id) for x in event.lines] == [("update", "equipment", "EQ-40090", "EQ-40090|transfer#1")]
+    assert event.properties == {"what": "KX-5060", "act": "transfer", "event_id": "KX-5060|transfer"} and event.to == ["desk"] and not event.delivered
+    assert [(x.op, x.object_class, x.target, x.line_id) for x in event.lines] == [("update", "equipment", "KX-5060", "KX-5060|transfer#1")]
 
 
 def test_conflicts_and_repeats(spark, e):
-    batch = e.plan_actions("equipment", "transfer", requests(spark, (1, "EQ-40090", "D05"), (2, "EQ-40091", "D05")))
+    batch = e.plan_actions("equipment", "transfer", requests(spark, (1, "KX-5060", "D03"), (2, "KX-5061", "D03")))
     device = e.sources.table("devices", "device")
-    moved = e.with_tables({("devices", "device"): device.withColumn("dept_id", F.when(F.col("serial_no") == "EQ-40090", "D08").when(F.col("serial_no") == "EQ-40091", "D05").otherwise(F.col("dept_id")))})
+    moved = e.with_tables({("devices", "device"): device.withColumn("dept_id", F.when(F.col("serial_no") == "KX-5060", "D01").when(F.col("serial_no") == "KX-5061", "D03").otherwise(F.col("dept_id")))})
     batch.table = moved.table
-    assert ledger(batch) == [(1, "device", "update", "EQ-40090", "conflict"), (2, "device", "update", "EQ-40091", "already")]
+    assert ledger(batch) == [(1, "device", "update", "KX-5060", "conflict"), (2, "device", "update", "KX-5061", "already")]
 
 
 def test_link_inserts_only_what_leads_to_the_stage(spark, e):
-    batch = e.plan_actions("equipment", "convert", requests(spark, (1, "EQ-40217"), (2, "EQ-40090"), (3, "EQ-40217")))
+    batch = e.plan_actions("equipment", "convert", requests(spark, (1, "KX-5333"), (2, "KX-5060"), (3, "KX-5333")))
     assert sorted((r.request_id, r.stage) for r in batch.rejected.collect()) == [(2, "pre")]
     # The asset source alone would leave it in transit, so its row goes in after the device's, not before.
     assert ledger(batch) == [
-        (1, "asset", "insert", "EQ-40217", "applied"), (1, "base", "insert", "EQ-40217", "applied"), (1, "device", "insert", "EQ-40217", "applied"),
-        (3, "asset", "insert", "EQ-40217", "already"), (3, "base", "insert", "EQ-40217", "already"), (3, "device", "insert", "EQ-40217", "already"),
+        (1, "asset", "insert", "KX-5333", "applied"), (1, "base", "insert", "KX-5333", "applied"), (1, "device", "insert", "KX-5333", "applied"),
+        (3, "asset", "insert", "KX-5333", "already"), (3, "base", "insert", "KX-5333", "already"), (3, "device", "insert", "KX-5333", "already"),
     ]
     after = e.with_tables(batch.apply())
-    row = after.rows({"object": "equipment", "identity": "EQ-40217", "properties": ["name", "status", "in_warranty"]}).first()
-    assert (row.name, row.status, row.in_warranty) == ("item 40217", "in_service", True)
-    assert after.rows({"object": "card", "identity": "EQ-40217"}).first().expiry == world.NOW + 365 * world.DAY
-    again = after.plan_actions("equipment", "convert", requests(spark, (1, "EQ-40217")))
+    row = after.rows({"object": "equipment", "identity": "KX-5333", "properties": ["name", "status", "in_warranty"]}).first()
+    assert (row.name, row.status, row.in_warranty) == ("item 5333", "in_service", True)
+    assert after.rows({"object": "card", "identity": "KX-5333"}).first().expiry == world.NOW + 365 * world.DAY
+    again = after.plan_actions("equipment", "convert", requests(spark, (1, "KX-5333")))
     assert [r.stage for r in again.rejected.collect()] == ["pre"] and ledger(again) == []
 
 
 def test_delete_everywhere(spark, e):
-    batch = e.plan_actions("equipment", "remove", requests(spark, (1, "EQ-40085"), (2, "EQ-70001"), (3, "nothing")))
-    assert ledger(batch) == [(1, "asset", "delete", "EQ-40085", "applied"), (1, "device", "delete", "EQ-40085", "applied"), (1, "purchase", "delete", "EQ-40085", "applied"), (2, "asset", "delete", "EQ-70001", "applied")]
-    assert e.with_tables(batch.apply()).rows({"object": "equipment"}).count() == 191
+    batch = e.plan_actions("equipment", "remove", requests(spark, (1, "KX-5055"), (2, "KX-9101"), (3, "nothing")))
+    assert ledger(batch) == [(1, "asset", "delete", "KX-5055", "applied"), (1, "device", "delete", "KX-5055", "applied"), (1, "purchase", "delete", "KX-5055", "applied"), (2, "asset", "delete", "KX-9101", "applied")]
+    assert e.with_tables(batch.apply()).rows({"object": "equipment"}).count() == len(world.ALL) - 2
 
 
 def test_targets_by_filter(spark, e):
-    batch = e.plan_actions("equipment", "close_repairs", requests(spark, (1, "EQ-40085"), (2, "EQ-40086")))
+    batch = e.plan_actions("equipment", "close_repairs", requests(spark, (1, "KX-5055"), (2, "KX-5056")))
     assert [(r.request_id, r.stage) for r in batch.rejected.collect()] == [(2, "effect")]  # its repair is closed
     assert ledger(batch) == [(1, "base", "update", "R-1", "applied")]
     assert e.with_tables(batch.apply()).rows({"object": "repair", "identity": "R-1"}).first().ended_at == world.NOW
@@ -76,21 +76,21 @@ def test_one_target_set_for_all_requests(spark):
     for name, test in (("retire", {"mark": "scrapped"}), ("nobody", {"mark": "none such"})):
         model["object_types"]["equipment"]["actions"][name] = {"effect": [{"update": {"object": "equipment", "filter": test, "properties": {"dept": {"from": "request"}}}}]}
     e = world.engine(spark, model)
-    batch = e.plan_actions("equipment", "retire", requests(spark, (2, "EQ-40090", "D02"), (1, "EQ-40091", "D01")))
-    assert batch.rejected.count() == 0 and ledger(batch) == [(1, "device", "update", f"EQ-4008{i}", "applied") for i in range(3)]
+    batch = e.plan_actions("equipment", "retire", requests(spark, (2, "KX-5060", "D02"), (1, "KX-5061", "D01")))
+    assert batch.rejected.count() == 0 and ledger(batch) == [(1, "device", "update", s, "applied") for s in world.SCRAPPED]
     assert {r.dept for r in e.with_tables(batch.apply()).rows({"object": "equipment", "filter": {"status": "scrapped"}}).collect()} == {"D01"}
     assert e.plan_actions("equipment", "nobody", requests(spark, (1, "x", "y"), (2, "z", "y"))).rejected.count() == 2
 
 
 def test_mutex(spark, e):
-    batch = e.plan_actions("equipment", "muddle", requests(spark, (1, "EQ-40090")))
+    batch = e.plan_actions("equipment", "muddle", requests(spark, (1, "KX-5060")))
     assert [(r.request_id, r.stage) for r in batch.rejected.collect()] == [(1, "axiom")] and ledger(batch) == []
 
 
 def test_waves(spark, e):
-    after, batches = e.run_actions("equipment", "transfer", requests(spark, (1, "EQ-40090", "D05"), (2, "EQ-40090", "D06"), (3, "EQ-40092", "D01")))
+    after, batches = e.run_actions("equipment", "transfer", requests(spark, (1, "KX-5060", "D03"), (2, "KX-5060", "D06"), (3, "KX-5062", "D01")))
     assert len(batches) == 2 and sorted((r.request_id, r.outcome) for r in e.ledger(batches).collect()) == [(1, "applied"), (2, "applied"), (3, "applied")]
-    assert after.rows({"object": "equipment", "identity": "EQ-40090", "properties": ["dept"]}).first().dept == "D06"
+    assert after.rows({"object": "equipment", "identity": "KX-5060", "properties": ["dept"]}).first().dept == "D06"
     _, none = e.run_actions("equipment", "transfer", requests(spark).limit(0))
     assert none == []
 
@@ -101,12 +101,12 @@ def test_generated_identifiers(spark):
     repair["repair_no"]["generate"] = ["R-", {"date": "now/d", "format": "yyyyMMdd"}, "-", {"snowflake": True}, "-", {"uuid": "v7"}, "-", {"from": "identity"}]
     model["object_types"]["equipment"]["actions"]["report"] = {"effect": [{"create": {"object": "repair", "properties": {"repair_no": {"from": "generated"}, "serial_no": {"from": "identity"}, "started_at": "now", "ended_at": "request.a+1"}}}]}
     e = world.engine(spark, model)
-    frame = spark.createDataFrame([(i, f"EQ-{i}", i) for i in range(5_000)], "request_id int, identity string, a long")
+    frame = spark.createDataFrame([(i, f"Q-{i}", i) for i in range(5_000)], "request_id int, identity string, a long")
     batch = e.plan_actions("equipment", "report", frame)
     made = rows(batch.changes[0].rows)
     assert made == rows(e.plan_actions("equipment", "report", frame.repartition(3)).changes[0].rows)
     keys = [r[1] for r in made]
-    assert len(set(keys)) == 5_000 and all(k.startswith("R-20250101-") and k.endswith(f"-EQ-{r[0]}") for k, r in zip(keys, made))
+    assert len(set(keys)) == 5_000 and all(k.startswith("R-20250101-") and k.endswith(f"-Q-{r[0]}") for k, r in zip(keys, made))
     assert len({k.split("-")[2] for k in keys}) == 5_000 and keys[0].split("-")[5][0] == "7"
     assert {r[-1] - r[0] for r in made} == {1}
 

@@ -29,7 +29,7 @@ def e(spark):
 
 
 def test_overlap(e, spark):
-    assert rows(overlap(e, "po_item", "device")) == [("po_item", "device", "serial", 121, 100, 40, 40 / 121)]
+    assert rows(overlap(e, "po_item", "device")) == [("po_item", "device", "serial", len(world.BOUGHT), len(world.DEVICES), len(world.BOTH), len(world.BOTH) / len(world.BOUGHT))]
     with pytest.raises(Rejected):
         overlap(e, "asset", "asset")
     none = e.with_tables({("assets", "asset"): e.sources.table("assets", "asset").limit(0), ("devices", "device"): e.sources.table("devices", "device").limit(0)})
@@ -37,15 +37,15 @@ def test_overlap(e, spark):
 
 
 def test_overlap_normalises(spark, e):
-    data = spark.createDataFrame([("eq 40080",), ("EQ40080",), ("eq-40081",), (None,), ("  ",), ("EQ-999",)], "sn string").selectExpr("sn", "1 as asset_id", "'x' as asset_name")
+    data = spark.createDataFrame([("kx 5050",), ("KX5050",), ("kx-5051",), (None,), ("  ",), ("KX-999",)], "sn string").selectExpr("sn", "1 as asset_id", "'x' as asset_name")
     changed = e.with_tables({("assets", "asset"): data})
-    assert rows(overlap(changed, "asset", "device"))[0][2:6] == ("serial", 3, 100, 2)
+    assert rows(overlap(changed, "asset", "device"))[0][2:6] == ("serial", 3, len(world.DEVICES), 2)
 
 
 def test_key_trial_and_suggestion(e):
     trial = [r.asDict() for r in key_trial(e, "po_item").collect()]
     best = {(r["candidate"], r["mate"], r["mate_key"]): (r["rows"], r["distinct_values"], r["unique_in_each"], r["hits"]) for r in trial}
-    assert best["sn", "device", "serial_no"] == (121, 121, True, 40) and best["sn", "asset", "sn"][3] == 40
+    assert best["sn", "device", "serial_no"] == (len(world.BOUGHT), len(world.BOUGHT), True, len(world.BOTH)) and best["sn", "asset", "sn"][3] == len(world.BOTH)
     assert verdict.suggest_key(trial, "sn")[0] == "sn"
     assert verdict.suggest_key([], "sn")[0] is None
     assert verdict.suggest_key([{"candidate": "a", "unique_in_each": False, "hard": True, "hits": 5}], "a")[0] is None
@@ -89,18 +89,18 @@ def test_merge_then_query(spark, e):
     model = verdict.apply_verdict(model, "po_item", "asset", verdict.OVERLAP)
     assert set(model.object_types) == {"po_item"} and list(model.object("po_item").sources) == ["po_item", "device", "asset"]
     made = world.engine(spark, model)
-    assert made.rows({"object": "po_item"}).count() == 193
-    assert made.rows({"object": "po_item", "identity": "EQ-60001", "properties": ["name"]}).first().name == "device EQ-60001"
+    assert made.rows({"object": "po_item"}).count() == len(world.ALL)
+    assert made.rows({"object": "po_item", "identity": "KX-8001", "properties": ["name"]}).first().name == "device KX-8001"
 
 
 def test_stages_then_a_further_stage(spark, e):
     model = verdict.apply_verdict(e.model, "po_item", "device", verdict.STAGE, {"from": "in_transit", "to": "in_service"})
     made = world.engine(spark, model)
     count = lambda m, s: m.rows({"object": "po_item", "filter": {"status": s}}).count()
-    assert (count(made, "in_transit"), count(made, "in_service")) == (81, 100)
+    assert (count(made, "in_transit"), count(made, "in_service")) == (world.STAGES["in_transit"], len(world.DEVICES))
     assert model.object("po_item").actions["convert_to_in_service"]["effect"] == [{"link": "po_item_to_in_service"}]
     more = world.engine(spark, verdict.apply_verdict(model, "po_item", "asset", verdict.STAGE, {"from": "in_service", "to": "listed"}))
-    assert [count(more, s) for s in ("in_transit", "in_service", "listed")] == [81, 60, 52]
+    assert [count(more, s) for s in ("in_transit", "in_service", "listed")] == [world.STAGES["in_transit"], len(world.OWN), len(world.BOTH + world.OFFICE)]
     with pytest.raises(InvalidModel):
         verdict.apply_verdict(Model.parse(split_model() | {"object_types": {k: v | {"properties": v["properties"] | {"status": {"type": "string"}}} for k, v in split_model()["object_types"].items()}}), "po_item", "device", verdict.STAGE)
 

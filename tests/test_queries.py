@@ -31,37 +31,37 @@ def one(spark, data, schema, properties, fields, **more):
 
 
 def test_stages_and_totals(e):
-    assert n(e) == 193
-    assert [n(e, filter={"status": s}) for s in ("in_service", "in_transit", "scrapped")] == [97, 81, 3]
-    assert n(e, filter={"status": {"ne": "scrapped"}}) == 178  # those without a stage meet no condition
+    assert n(e) == len(world.ALL)
+    assert {s: n(e, filter={"status": s}) for s in ("in_service", "in_transit", "scrapped")} == {s: k for s, k in world.STAGES.items() if s}
+    assert n(e, filter={"status": {"ne": "scrapped"}}) == world.STAGES["in_service"] + world.STAGES["in_transit"]  # those without a stage meet no condition
     found = dict(rows(e.rows({"object": "equipment", "aggregate": {"group_by": ["status"], "metrics": [{"count": "*"}]}})))
-    assert found == {"in_service": 97, "in_transit": 81, "scrapped": 3, None: 12}
-    assert e.rows({"object": "equipment", "filter": {"status": "in_service"}, "aggregate": {"group_by": ["dept"], "metrics": [{"count": "*"}]}}).agg(F.sum("count")).first()[0] == 97
+    assert found == world.STAGES
+    assert e.rows({"object": "equipment", "filter": {"status": "in_service"}, "aggregate": {"group_by": ["dept"], "metrics": [{"count": "*"}]}}).agg(F.sum("count")).first()[0] == world.STAGES["in_service"]
 
 
 def test_the_first_source_names(e):
-    assert rows(e.rows({"object": "equipment", "identity": "EQ-40085", "properties": ["name", "status"]})) == [("item 40085", "in_service")]
+    assert rows(e.rows({"object": "equipment", "identity": "KX-5055", "properties": ["name", "status"]})) == [("item 5055", "in_service")]
 
 
 def test_relations(e):
     with_dept = world.tables(e.spark)["devices"]["device"].where("dept_id is not null").count()
     assert n(e, filter={"$link": {"belongs_to": True}}) == with_dept
-    assert n(e, filter={"$link": {"belongs_to": False}}) == 193 - with_dept
-    assert n(e, filter={"in_warranty": True}) == 20 and n(e, filter={"in_warranty": False}) == 173
-    assert n(e, filter={"movable": True}) == 20
+    assert n(e, filter={"$link": {"belongs_to": False}}) == len(world.ALL) - with_dept
+    assert n(e, filter={"in_warranty": True}) == len(world.IN_WARRANTY) and n(e, filter={"in_warranty": False}) == len(world.ALL - world.IN_WARRANTY)
+    assert n(e, filter={"movable": True}) == sum(world.STATUS[s] == "in_service" for s in world.IN_WARRANTY)
     assert n(e, filter={"$link": {"under_repair": {"ended_at": {"gt": "now"}}}}) == 1
-    assert n(e, filter={"$link": {"converted": True}}) == 40 - 3 + 3
+    assert n(e, filter={"$link": {"converted": True}}) == len(set(world.BOUGHT) & set(world.DEVICES))
     assert e.rows({"object": "department", "filter": {"$link": {"has_equipment": {"$link": {"covered_by": {"expiry": {"lt": "now"}}}}}}}).count() > 0
     valid = {"valid_from": {"lte": "2025-06-01"}, "valid_to": {"gt": "2025-06-01"}}
-    found = e.rows({"object": "equipment", "identity": "EQ-40090", "properties": ["serial_no"], "expand": [{"relation": "assignments", "properties": ["asgn_no"], "filter": valid, "expand": [{"relation": "of_department", "properties": ["dept_name"]}]}]}).first()
-    assert [(a.asgn_no, [d.dept_name for d in a.of_department]) for a in found.assignments] == [("A-1", ["dept D02"])]
-    assert e.rows({"object": "equipment", "identity": "EQ-70001", "expand": [{"relation": "belongs_to"}, {"relation": "converted", "properties": ["name"]}]}).first().belongs_to == []
+    found = e.rows({"object": "equipment", "identity": "KX-5060", "properties": ["serial_no"], "expand": [{"relation": "assignments", "properties": ["asgn_no"], "filter": valid, "expand": [{"relation": "of_department", "properties": ["dept_name"]}]}]}).first()
+    assert [(a.asgn_no, [d.dept_name for d in a.of_department]) for a in found.assignments] == [("A-1", ["dept D04"])]
+    assert e.rows({"object": "equipment", "identity": "KX-9101", "expand": [{"relation": "belongs_to"}, {"relation": "converted", "properties": ["name"]}]}).first().belongs_to == []
 
 
 def test_order_and_limit(e):
     found = e.query({"object": "equipment", "properties": ["serial_no"], "order": {"serial_no": "desc"}, "limit": 5}).df.collect()
-    assert [r[0] for r in found] == [f"EQ-{x}" for x in (70012, 70011, 70010, 70009, 70008)]
-    assert e.query({"object": "equipment", "properties": ["serial_no"]}).df.count() == 193
+    assert [r[0] for r in found] == sorted(world.ALL)[:-6:-1]
+    assert e.query({"object": "equipment", "properties": ["serial_no"]}).df.count() == len(world.ALL)
     made = e.query({"object": "equipment", "properties": ["serial_no", "dept"], "order": {"dept": "desc"}, "limit": 3, "expand": [{"relation": "belongs_to", "properties": ["dept_id"]}]})
     assert [r.dept for r in made.df.collect()] == [None] * 3 and made.path
     plan = e.query({"object": "equipment", "properties": ["serial_no"], "order": {"serial_no": "asc"}}).df._jdf.queryExecution().executedPlan().toString()
@@ -70,7 +70,7 @@ def test_order_and_limit(e):
 
 def test_expansions_agree_from_few_and_from_all(e):
     nested = [{"relation": "has_equipment", "properties": ["serial_no"], "expand": [{"relation": "covered_by", "properties": ["expiry"]}, {"relation": "under_repair", "properties": ["repair_no"]}]}]
-    request = {"object": "department", "properties": ["dept_id"], "filter": {"dept_id": {"in": ["D02", "D07"]}}, "expand": nested}
+    request = {"object": "department", "properties": ["dept_id"], "filter": {"dept_id": {"in": ["D06", "D03"]}}, "expand": nested}
     flat = lambda df: sorted((r.dept_id, x.serial_no, tuple(c.expiry for c in x.covered_by), tuple(c.repair_no for c in x.under_repair)) for r in df.collect() for x in r.has_equipment)
     few = flat(e.query(request).df)
     assert few == flat(e.rows(request)) and any(c for _, _, c, _ in few) and any(r for *_, r in few)
@@ -174,7 +174,7 @@ def test_rejections_come_before_any_job(e, request_):
 
 def test_expressions_and_plain_words(e):
     assert n(e, filter={"name": "nowadays"}) == 0
-    assert e.rows({"object": "card", "filter": {"expiry": {"gte": "now-10d", "lt": "now-10d+1s"}}}).count() == 10
+    assert e.rows({"object": "card", "filter": {"expiry": {"gte": "now-6d", "lt": "now-6d+1s"}}}).count() == len(world.LAPSED)
     assert e.rows({"object": "repair", "filter": {"started_at": {"gte": "now/w"}}}).count() == 1  # weeks start on a Thursday: 2024-12-26
 
 

@@ -38,6 +38,22 @@ def test_reads_in_ranges_with_filters(spark, file):
         sqlite(spark, file + "x")
 
 
+def test_partitions_follow_rows_not_row_ids(spark, tmp_path):
+    from tessera.functions.ids import Snowflake
+
+    path, made = str(tmp_path / "far.db"), Snowflake(clock_ms=lambda: 1_735_689_600_000)
+    with sqlite3.connect(path) as db:
+        db.executescript("create table far (id integer primary key, v text); create table bare (k text primary key, v int) without rowid; create table none (a int)")
+        db.executemany("insert into far values (?, ?)", [(1, "first"), (2, "second")] + [(made(), f"v{i}") for i in range(98)])
+        db.executemany("insert into bare values (?, ?)", [(f"k{i}", i) for i in range(10)])
+    db.close()
+    held = sqlite(spark, path, partition_rows=25)
+    assert held.read("far").rdd.glom().map(len).collect() == [25] * 4
+    assert held.read("far").where("id <= 2").count() == 2 and held.read("far").agg({"id": "max"}).first()[0] > 1 << 52
+    assert held.read("bare").where("v >= 5").count() == 5 and held.read("bare").rdd.getNumPartitions() == 1
+    assert held.read("none").count() == 0
+
+
 def test_queries_and_write_back(spark, file):
     properties = {"code": {"type": "string"}, "name": {"type": "string"}, "owner": {"type": "string"}}
     actions = {

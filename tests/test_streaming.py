@@ -29,7 +29,7 @@ def test_gaps_of_a_stream(spark, tmp_path):
 
 def test_actions_from_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "0.json").write_text('{"request_id": 1, "identity": "EQ-40090", "dept": "D05"}\n{"request_id": 2, "identity": "EQ-40091", "dept": "D99"}')
+    (tmp_path / "in" / "0.json").write_text('{"request_id": 1, "identity": "KX-5060", "dept": "D03"}\n{"request_id": 2, "identity": "KX-5061", "dept": "D99"}')
     stream = spark.readStream.schema("request_id long, identity string, dept string").json(str(tmp_path / "in"))
     done = []
     query = act_on(stream, lambda: world.engine(spark), "equipment", "transfer", lambda batches, after, n: done.append((n, [b.ledger().count() for b in batches]))).option("checkpointLocation", str(tmp_path / "state")).start()

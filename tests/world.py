@@ -4,26 +4,38 @@ NOW = 1_735_689_600  # 2025-01-01
 DAY = 86_400
 
 
+def _serials(lo, hi):
+    return [f"KX-{n}" for n in range(lo, hi)]
+
+
+BOUGHT, BOTH, OWN, OFFICE = [*_serials(5_000, 5_075), "KX-5333"], _serials(5_050, 5_075), _serials(8_000, 8_033), _serials(9_101, 9_110)
+DEPTS = [f"D{n:02}" for n in range(1, 7)]
+DEVICES, SCRAPPED = BOTH + OWN, BOTH[:2]
+COVERED, LAPSED = BOTH[:18], BOTH[:7]
+
+# What must come out, from the lists alone.
+ALL = set(BOUGHT) | set(DEVICES) | set(OFFICE)
+STATUS = {s: "scrapped" if s in SCRAPPED else "in_transit" if s in BOUGHT and s not in DEVICES else "in_service" if s in DEVICES else None for s in ALL}
+STAGES = {stage: list(STATUS.values()).count(stage) for stage in ("in_service", "in_transit", "scrapped", None)}
+IN_WARRANTY = set(COVERED) - set(LAPSED)
+
+
 def tables(spark):
     def frame(data, schema):
         return spark.createDataFrame(data, schema)
 
-    overlap = [f"EQ-{n}" for n in range(40080, 40120)]
-    own = [f"EQ-{n}" for n in range(60000, 60060)]
-    office = [f"EQ-{n}" for n in range(70001, 70013)]
-    depts = [f"D{n:02}" for n in range(1, 9)]
-    device = [(i, f"device {s}", s, depts[i % 8] if i % 16 or i < 3 else None, "scrapped" if i < 3 else "in use") for i, s in enumerate(overlap + own)]
+    device = [(i, f"device {s}", s, DEPTS[i % 6] if i % 12 or i < 2 else None, "scrapped" if s in SCRAPPED else "in use") for i, s in enumerate(DEVICES)]
     return {
-        "purchases": {"item": frame([(i, f"item {n}", f"EQ-{n}") for i, n in enumerate([*range(40000, 40120), 40217])], "po_id int, item_name string, sn string")},
+        "purchases": {"item": frame([(i, f"item {s[3:]}", s) for i, s in enumerate(BOUGHT)], "po_id int, item_name string, sn string")},
         "devices": {
             "device": frame(device, "dev_id int, name string, serial_no string, dept_id string, status string"),
-            "department": frame([(d, f"dept {d}") for d in depts], "dept_id string, dept_name string"),
-            "assignment": frame([(1, "A-1", "EQ-40090", "D02", NOW, None), (2, "A-2", "EQ-40090", "D03", NOW - 90 * DAY, NOW)], "id int, asgn_no string, sn string, dept_id string, valid_from long, valid_to long"),
-            "repair": frame([(1, "R-1", "EQ-40085", NOW - DAY, None), (2, "R-2", "EQ-40086", NOW - 9 * DAY, NOW - 8 * DAY)], "id int, repair_no string, serial_no string, started_at long, ended_at long"),
+            "department": frame([(d, f"dept {d}") for d in DEPTS], "dept_id string, dept_name string"),
+            "assignment": frame([(1, "A-1", "KX-5060", "D04", NOW, None), (2, "A-2", "KX-5060", "D05", NOW - 70 * DAY, NOW)], "id int, asgn_no string, sn string, dept_id string, valid_from long, valid_to long"),
+            "repair": frame([(1, "R-1", "KX-5055", NOW - DAY, None), (2, "R-2", "KX-5056", NOW - 12 * DAY, NOW - 11 * DAY)], "id int, repair_no string, serial_no string, started_at long, ended_at long"),
         },
         "assets": {
-            "asset": frame([(i, f"asset {s}", s) for i, s in enumerate(overlap + office)], "asset_id int, asset_name string, sn string"),
-            "warranty": frame([(i, f"EQ-{40080 + i}", NOW + (-10 if i < 10 else 400) * DAY) for i in range(30)], "card_id int, sn string, expiry long"),
+            "asset": frame([(i, f"asset {s}", s) for i, s in enumerate(BOTH + OFFICE)], "asset_id int, asset_name string, sn string"),
+            "warranty": frame([(i, s, NOW + (-6 if s in LAPSED else 250) * DAY) for i, s in enumerate(COVERED)], "card_id int, sn string, expiry long"),
         },
     }
 
