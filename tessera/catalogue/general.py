@@ -66,7 +66,13 @@ def p4_found(spark: SparkSession, at: str) -> DataFrame:
     return model_changes(read(spark, at, "onto_version"), unreadable=WARN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_periods, p2_found, p3_found, p3_counts, p4_found)}
+def p4_canvas(spark: SparkSession, at: str) -> DataFrame:
+    """The changes between the configs within the canvases alone, which SQL can read too."""
+    versions = read(spark, at, "onto_version").withColumn("yaml", F.lit(None).cast("string"))
+    return model_changes(versions)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_periods, p2_found, p3_found, p3_counts, p4_found, p4_canvas)}
 
 
 _CODE = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
@@ -110,4 +116,22 @@ ORACLE: dict[str, str] = {
       select repair_no, dept_id from pairs where nth = 1""",
     "p3_found": f"with {_REFS} select src, ref_id, kind, period from faults where kind is not null",
     "p3_counts": f"with {_REFS} select src, period, kind, count(*) as n from faults where kind is not null group by src, period, kind",
+    "p4_canvas": """with packs as (
+    select id, workspace_id, version, canvas_json::json as j from onto_version
+    where workspace_id is not null and version is not null and case when json_valid(canvas_json) then json_type(canvas_json, '$.config') end = 'OBJECT'),
+  parts as (select id, workspace_id, version, section, json_extract(j, '$.config.' || section) as entries from packs, (values ('object_types'), ('link_types')) as s(section)),
+  records as (select p.id, workspace_id, version, section || '.' || e.key as record, e.value from parts p, json_each(p.entries) e where json_type(p.entries) = 'OBJECT'),
+  contents as (
+    select r.id, r.workspace_id, r.version, r.record,
+           md5(string_agg(t.fullkey || ':' || case when t.type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'N' || t.atom::varchar::double else t.type || coalesce(t.atom::varchar, '') end, '|' order by t.fullkey)) as content
+    from records r, json_tree(r.value) t group by all),
+  held as (select workspace_id, version, record, max(content) as content from contents group by all),
+  steps as (select workspace_id, version, lag(version) over (partition by workspace_id order by version) as before from (select distinct workspace_id, version from packs)),
+  pairs as (
+    select s.workspace_id, s.version, coalesce(n.record, o.record) as record, o.content as old, n.content as new
+    from (select s.workspace_id, s.version, h.record, h.content from steps s join held h using (workspace_id, version) where before is not null) n
+    full join (select s.workspace_id, s.version, h.record, h.content from steps s join held h on h.workspace_id = s.workspace_id and h.version = s.before) o
+      on n.workspace_id = o.workspace_id and n.version = o.version and n.record = o.record
+    join steps s on s.workspace_id = coalesce(n.workspace_id, o.workspace_id) and s.version = coalesce(n.version, o.version))
+  select workspace_id, version, record, case when old is null then 'added' when new is null then 'removed' else 'changed' end as change from pairs where old is distinct from new""",
 }

@@ -29,7 +29,7 @@ from tessera.plans.model import Model, lineage, properties_of_column, same_struc
 from tessera.plans.service import Service
 from tessera.plans.shared import ensure_checkpoint_dir
 from tessera.plans.workingcopy import unpack
-from tessera.sources.catalog import Sources, files, frames
+from tessera.sources.catalog import Sources, files, frames, jdbc
 from tessera.sources.sqlite import sqlite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,33 @@ def _select_aggregate(spark: SparkSession, at: str) -> DataFrame:
     return engine(spark, at).sources.select_aggregate("retail", "lineitem", ["l_returnflag"], {"n": F.count(F.lit(1)), "most": F.max("l_quantity"), "least": F.min("l_extendedprice")}, F.col("l_quantity") > 10)
 
 
+@_query("sample_masked", "select n_nationkey, n_name, case when length(n_name) <= 6 then '******' else substring(n_name, 1, 4) || '******' || right(n_name, 2) end as mobile_no from nation")
+def _sample_masked(spark: SparkSession, at: str) -> DataFrame:
+    """A sample of as many rows as there are, one of its columns sensitive by name."""
+    sources = Sources(spark)
+    sources.register("crm", frames({"contact": read(spark, at, "nation").select("n_nationkey", "n_name", F.col("n_name").alias("mobile_no"))}))
+    return sources.sample("crm", "contact", rows=25)
+
+
+@_query("database_aggregate", "select n_regionkey as region_key, count(*) as count, sum(n_nationkey) as sum_nation_key, max(n_nationkey) as max_nation_key from nation where n_nationkey >= 3 group by 1")
+def _database_aggregate(spark: SparkSession, at: str) -> DataFrame:
+    """Grouped by the database itself, one in this process's memory; 25 rows go in, whatever the scale."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    read(spark, at, "nation").select(F.col("n_nationkey").alias("N_KEY"), F.col("n_regionkey").alias("R_KEY")).write.jdbc(url, "NATION", properties={"driver": driver})
+    nation = {"kind": "thing", "identity": "nation_key", "properties": {"nation_key": {"type": "number"}, "region_key": {"type": "number"}}, "sources": {"base": {"connection": "db", "table": "NATION", "fields": {"nation_key": "N_KEY", "region_key": "R_KEY"}, "unique": True}}}
+    e = Engine(spark, {"object_types": {"nation": nation}})
+    e.sources.register("db", jdbc(spark, url, schema="APP", driver=driver), test=True)
+    return e.rows({"object": "nation", "filter": {"nation_key": {"gte": 3}}, "aggregate": {"group_by": ["region_key"], "metrics": [{"count": "*"}, {"sum": "nation_key"}, {"max": "nation_key"}]}})
+
+
+@_query("expand_joined", "select r_regionkey as region_key, n_nationkey as nation_key, c_custkey as customer_key, c_acctbal as balance from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey and c_acctbal > 5000")
+def _expand_joined(spark: SparkSession, at: str) -> DataFrame:
+    """Related individuals row by row; nothing is gathered per region or nation."""
+    chain = [{"relation": "nations", "properties": ["nation_key"], "expand": [{"relation": "customers", "properties": ["customer_key", "balance"], "filter": {"balance": {"gt": 5000}}}]}]
+    found = engine(spark, at).related({"object": "region", "properties": ["region_key"], "expand": chain})
+    return found.select("region_key", "nations.nation_key", "nations.customers.customer_key", "nations.customers.balance")
+
+
 def _file(spark: SparkSession, at: str) -> str:
     """Regions and nations (25 rows whatever the scale) as tables of a database file."""
     path = str(_folder(spark) / "plant.db")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parts of the names of sensitive columns.
-SENSITIVE = re.compile(r"id_?card|phone|mobile|email|身份证|手机|邮箱", re.I)
+SENSITIVE = re.compile(r"id_?card|idcard|phone|mobile|身份证|手机|邮箱|email", re.I)
 HIDDEN = "******"
 
 

@@ -43,6 +43,10 @@ class Engine:
         """All rows of a request, without the limit of the request interface."""
         return self.query(request, most=None).df
 
+    def related(self, request: dict) -> DataFrame:
+        """All rows of a request with its chain of relations joined, one row for each related individual, as structs."""
+        return run_query(self.binding(), request, most=None, flat=True).df
+
     def left_out(self, request: dict) -> DataFrame:
         """What the class or the aggregate of a request leaves out: object, source, reason, n."""
         return left_out(self.binding(), request)

@@ -159,8 +159,36 @@ def _expand(frame: ClassFrame, nodes: list[dict], start: int) -> list[str]:
     return made
 
 
-def run_query(binding: Binding, request: dict, *, most: int | None = MOST_ROWS) -> Result:
-    """The DataFrame of a request. ``most`` None lifts the limit on rows (for queries within the library)."""
+def _expand_flat(frame: ClassFrame, nodes: list[dict]) -> list[str]:
+    """Adds one struct column: an individual has a row for each related one, or one row without any."""
+    if len(nodes or ()) > 1:
+        raise Rejected("only one chain of relations can be shown row by row")
+    for node in nodes or ():
+        hop = frame.hop(node["relation"])
+        if hop.link.transition:
+            raise Rejected(f"{node['relation']} is a transition and has no rows of its own")
+        target = frame.target(hop, node.get("filter"))
+        column = f"{frame.tag}e_{node['relation']}"
+        pairs = frame.paired(hop, target)
+        theirs = {f"{column}_t{i}": b for i, (_, b) in enumerate(pairs)}
+        ours = {f"{column}_{i}": a for i, (a, _) in enumerate(pairs)}
+        frame.df, target.df = frame.df.withColumns(ours), target.df.withColumns(theirs)
+        names = _names(target, node.get("properties"))
+        for n in names:
+            target.value(n)
+        inner = _expand_flat(target, node.get("expand"))
+        item = F.struct(*(target.output(n) for n in names), *(F.col(f"{target.tag}e_{r}").alias(r) for r in inner))
+        rows = target.df.select(*theirs, item.alias(column))
+        frame.df = frame.df.join(rows, [F.col(a) == F.col(b) for a, b in zip(ours, theirs)], "left").drop(*theirs)
+    return [node["relation"] for node in nodes or ()]
+
+
+def run_query(binding: Binding, request: dict, *, most: int | None = MOST_ROWS, flat: bool = False) -> Result:
+    """The DataFrame of a request. ``most`` None lifts the limit on rows (for queries within the library).
+
+    ``flat`` shows related individuals row by row, as structs, in place of one array per individual, so that nothing is
+    gathered however many there are.
+    """
     check_request(request)
     cls = request["object"]
     if cls not in binding.model.object_types:
@@ -199,7 +227,7 @@ def run_query(binding: Binding, request: dict, *, most: int | None = MOST_ROWS)
     if most is not None:
         frame.df = frame.df.limit(limit)
         binding.notes.append(f"at most {limit} rows")
-    expanded = _expand(frame, request.get("expand"), FEW if most is not None else ALL)
+    expanded = _expand_flat(frame, request.get("expand")) if flat else _expand(frame, request.get("expand"), FEW if most is not None else ALL)
     df = frame.df.select(*(frame.output(n) for n in names), *(F.col(f"{frame.tag}e_{r}").alias(r) for r in expanded))
     if order and expanded:
         df = df.orderBy(_sort(*order))  # joins do not keep the order

@@ -180,12 +180,12 @@ class Sources:
         self.spark, self.connections = spark, {}
 
     def register(self, name: str, connection: Connection, *, test: bool = False) -> None:
-        """Adds or replaces a connection; with ``test``, only if its tables can be listed and read."""
+        """Adds or replaces a connection; with ``test``, only if all its tables can be listed and their columns read."""
         if not re.fullmatch(r"[a-z][a-z0-9_]*", name):
             raise Rejected(f"{name!r} is no connection name")
         if test:
             try:
-                for table in connection.names()[:1]:
+                for table in connection.names():
                     connection.read(table).schema  # noqa: B018
             except Exception as e:
                 raise SourceFault(f"{name}: {e}") from e
@@ -244,15 +244,6 @@ class Sources:
     def locate(self, table: str) -> list[TableInfo]:
         return [t for t in self.tables() if t.table == table]
 
-    def profile(self, connection: str, table: str, columns: list[str]) -> dict[str, tuple[int, int, int]]:
-        """Rows, non-null values and distinct values of each column, in one pass."""
-        df = self.table(connection, table)
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for i, c in enumerate(columns):
-            aggregates += [F.count(c).alias(f"n{i}"), F.countDistinct(c).alias(f"d{i}")]
-        row = df.agg(*aggregates).first()
-        return {c: (row["rows"], row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
-
     def sample(self, connection: str, table: str, rows: int = SAMPLE_ROWS) -> DataFrame:
         """A few rows with sensitive columns masked."""
         df = self.table(connection, table).limit(rows)

@@ -95,6 +95,29 @@ def test_waves(spark, e):
     assert none == []
 
 
+def test_many_waves_have_plans_alike(spark, e):
+    depts = [world.DEPTS[i % 6] for i in range(7)]
+    after, batches = e.run_actions("equipment", "transfer", requests(spark, *((i, "KX-5060", d) for i, d in enumerate(depts))))
+    plan = lambda b: b.table(b.changes[0].source)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(batches) == 7 and len({plan(b).count("\n") for b in batches[1:]}) == 1
+    want, kept = [], world.DEPTS[10 % 6]
+    for i, d in enumerate(depts):
+        want.append((i, "rejected" if d == kept else "applied"))
+        kept = d
+    assert sorted([(r.request_id, "rejected") for b in batches for r in b.rejected.collect()] + [(r.request_id, r.outcome) for r in e.ledger(batches).collect()]) == want
+    assert after.rows({"object": "equipment", "identity": "KX-5060", "properties": ["dept"]}).first().dept == kept
+
+
+def test_numbers_of_requests_by_ranges(spark):
+    from tessera.operators.actions import numbered
+
+    df = spark.range(0, 2_000, 1, 7).selectExpr("(id * 7919) % 2000 as request_id")
+    found = rows(numbered(df, "request_id", "n"))
+    assert found == sorted(((i, i) for i in range(2_000)), key=repr)
+    plan = numbered(df, "request_id", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
 def test_generated_identifiers(spark):
     model = copy.deepcopy(world.MODEL)
     repair = model["object_types"]["repair"]["properties"]

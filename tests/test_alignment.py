@@ -147,7 +147,6 @@ def test_sources(spark):
     info = held.info("crm", "person")
     assert [(c.name, c.type, c.unique, c.pk) for c in info.columns] == [("id", "number", False, True), ("phone", "string", True, False), ("email", "string", False, False)]
     assert [(t.connection, bool(t.error)) for t in held.tables()] == [("crm", False), ("broken", True)]
-    assert held.profile("crm", "person", ["id", "email"]) == {"id": (2, 2, 2), "email": (2, 1, 1)}
     draft = draft_from_tables([info])
     assert draft["person"]["identity"] == "phone" and draft["person"]["sources"]["crm"]["pk"] == "id"
     Model.parse({"object_types": copy.deepcopy(draft)})
