@@ -8,12 +8,13 @@ from __future__ import annotations
 import sqlite3
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalogue.reference import _EQUIPMENT, _values
+from tessera.catalogue.reference import _EQUIPMENT, _ORDERS, _values
 from tessera.catalogue.retail import MODEL, NOW, engine
 from tessera.catalogue.tables import read
 from tessera.functions.dates import format_utc
@@ -26,6 +27,7 @@ from tessera.plans.engine import Engine
 from tessera.plans.errors import Rejected
 from tessera.plans.filters import describe
 from tessera.plans.model import Model, lineage, properties_of_column, same_structure
+from tessera.plans.scripted import RETAIL_SCRIPT
 from tessera.plans.service import Service
 from tessera.plans.shared import ensure_checkpoint_dir
 from tessera.plans.workingcopy import unpack
@@ -578,6 +580,28 @@ def _service_log(spark: SparkSession, at: str) -> list[tuple]:
     return [(kind, r["ok"], r["version"], r["error"] or "") for kind in ("query", "action") for r in service.workspace.records(f"log_{kind}")]
 
 
+_QUESTIONS = {
+    "How many orders are in each stage?": "with {orders} select count(distinct coalesce(stage, '')) from aligned",
+    "Which customers in BUILDING without orders are there?": "select count(*) from customer where c_mktsegment = 'BUILDING' and c_custkey not in (select o_custkey from orders where o_custkey is not null)",
+    "Who has a balance above 5000.5?": "select count(*) from customer where c_acctbal > 5000.5",
+    "What are the nations of ASIA?": "select count(*) from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'",
+    "Where is order 7?": "select count(*) from orders where o_orderkey = 7",
+}
+
+
+@_query("scripted_questions", " union all ".join(f"select '{q}' as question, ({sql.replace('{orders}', _ORDERS)}) as n" for q, sql in _QUESTIONS.items()) + " union all select 'What is the weather?', -1")
+def _scripted(spark: SparkSession, at: str) -> DataFrame:
+    """Questions in words, compiled by a script and answered; -1: no pattern fits."""
+    script, e, parts = RETAIL_SCRIPT, engine(spark, at), []
+    for q in (*_QUESTIONS, "What is the weather?"):
+        try:
+            n = e.rows(script(q, e.model)).agg(F.count(F.lit(1)).alias("n"))
+        except Rejected:
+            n = spark.range(1).select(F.lit(-1).cast("long").alias("n"))
+        parts.append(n.select(F.lit(q).alias("question"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_told("alignment_by_service", "step string, told string", [("candidates", "header shipment"), ("overlap", "all headers"), ("decide", "2"), ("again", "Rejected"), ("left", "0"), ("publish", "1"), ("classes", "header")])
 def _alignment(spark: SparkSession, at: str) -> list[tuple]:
     """Candidates, evidence, a verdict and what it leaves, by the service's methods."""

@@ -13,6 +13,7 @@ from tessera.plans.errors import InvalidModel, Rejected, StaleRevision
 from tessera.plans.filters import describe
 from tessera.plans.model import Model, lineage, properties_of_column, same_structure
 from tessera.plans.service import Service
+from tessera.plans.workingcopy import WorkingCopy, hydrate, pack, unpack
 from tests import world
 
 BASE = Model.parse(world.MODEL)
@@ -111,6 +112,25 @@ def test_versions_and_revisions(tmp_path):
     assert workspaces(tmp_path) == ["one"]
 
 
+def test_working_copies():
+    one = edit(BASE, {"op": "create_object", "name": "tool", "kind": "thing"})
+    drawing = {"layout": {"tool": {"x": 1, "y": 2.5}}, "edgeBends": {}, "edgePins": {"e": {"source": {"side": "left"}}}}
+    saved = pack(WorkingCopy(one, drawing, True))
+    back = hydrate(saved, BASE)
+    assert same_structure(back.model.raw, one.raw) and back.drawing == drawing and back.dirty
+    # What is missing or malformed comes from the published version; a pin costs its own end only.
+    held = json.loads(saved)
+    held["layout"], held["edgePins"] = {"tool": {"x": "1", "y": 2}}, {"e": {"source": "left", "target": {"side": "top"}}}
+    del held["edgeBends"], held["config"]
+    back = hydrate(json.dumps(held), BASE, pack(WorkingCopy(BASE, {"layout": {"card": {"x": 0, "y": 0}}, "edgeBends": {"b": {"dx": 1, "dy": 1}}}, False)))
+    assert back.model is BASE and not back.dirty and back.drawing == {"layout": {"card": {"x": 0, "y": 0}}, "edgeBends": {"b": {"dx": 1, "dy": 1}}, "edgePins": {"e": {"target": {"side": "top"}}}}
+    assert same_structure(hydrate(json.dumps(one.raw), BASE).model.raw, one.raw)  # a bare model
+    for text in (None, "", "{cut", "[1]"):
+        assert hydrate(text, BASE).model is BASE and unpack(text) == {}
+    with pytest.raises(Rejected):
+        hydrate('{"config": {"object_types": {"x": {"kind": "idea"}}}}', BASE)
+
+
 def test_a_lock_left_behind(tmp_path):
     import os
 
