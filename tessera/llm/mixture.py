@@ -43,25 +43,39 @@ def hash_point(seed: int, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def water_level(sources: DataFrame, total: float | str | None) -> float:
-    """The amount per unit of share of all sources that are not clamped, of ``sources`` (share, most, size).
+def water_level(sources: DataFrame, total: float | str | None) -> tuple[float, bool]:
+    """The amount per unit of share of all sources that are not clamped, of ``sources`` (share, most, size), and whether
+    those are few.
 
     Every round clamps the sources that the level of the round before would overdraw, and gives what is left to the rest.
+    Few sources are added up here, more by Spark, in the same way.
     """
     active = sources.where((F.col("share") > 0) & (F.col("size") > 0) & (F.col("most") > 0)).select("share", "size", (F.col("most") * F.col("size")).cast("double").alias("limit"))
+    rows = active.limit(BROADCAST_SOURCES + 1).collect()
+    few = len(rows) <= BROADCAST_SOURCES
+    if few:
+        least, held = min((r.limit / r.share for r in rows), default=None), sum(r["size"] for r in rows)
+    else:
+        least, held = active.agg(F.min(F.col("limit") / F.col("share")), F.sum("size")).first()
+
+    def clamp(level: float) -> tuple[float, float, int]:
+        """What sources over the level take, the shares of the others, and how many are over it."""
+        if few:
+            over = [r.limit <= r.share * level for r in rows]
+            return sum(r.limit for r, o in zip(rows, over) if o), sum(r.share for r, o in zip(rows, over) if not o), sum(over)
+        over = F.col("limit") <= F.col("share") * F.lit(level)
+        return tuple(active.agg(*(F.coalesce(F.sum(F.when(c, v)), F.lit(0)) for c, v in ((over, F.col("limit")), (~over, F.col("share")), (over, F.lit(1))))).first())
+
     if total is EXACT:
-        return active.agg(F.min(F.col("limit") / F.col("share"))).first()[0] or 0.0
-    if total == CORPUS:
-        total = active.agg(F.sum("size")).first()[0] or 0
-    level, clamped = 0.0, -1
+        return least or 0.0, few
+    level, clamped, total = 0.0, -1, held or 0 if total == CORPUS else total
     while True:
-        over = F.col("limit") <= F.col("share") * F.lit(level)
-        held = active.agg(F.coalesce(F.sum(F.when(over, F.col("limit"))), F.lit(0.0)).alias("taken"), F.sum(F.when(~over, F.col("share"))).alias("weight"), F.count(F.when(over, 1)).alias("clamped")).first()
-        if held.weight is None:
-            return math.inf
-        if held.clamped == clamped:
-            return level
-        level, clamped = max(level, (total - held.taken) / held.weight), held.clamped
+        taken, weight, now = clamp(level)
+        if not weight:
+            return math.inf, few
+        if now == clamped:
+            return level, few
+        level, clamped = max(level, (total - taken) / weight), now
 
 
 class Mixture:
@@ -81,8 +95,7 @@ class Mixture:
         wanted = targets.select(_name("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeat", F.lit(1)).alias("most"))
         wanted = wanted.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most"))
         plan = store(wanted.join(sizes, "source", "left").fillna(0, ["size", "documents"]))
-        self.small = plan.count() <= BROADCAST_SOURCES
-        level = water_level(plan, total)
+        level, self.small = water_level(plan, total)
         limit = F.greatest(F.lit(0), F.col("most")) * F.col("size")
         plan = plan.withColumn("amount", F.when((F.col("share") > 0) & (F.col("size") > 0), F.least(limit.cast("double"), F.col("share") * F.lit(level))).otherwise(0.0))
         plan = plan.withColumn("epochs", F.when(F.col("size") > 0, F.col("amount") / F.col("size")).otherwise(0.0))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import mixture
 from tessera.llm.mixture import CORPUS, EXACT, Mixture, water_level
 from tessera.llm.queries import QUERIES
 from tests.catalogue import TABLES, connection
@@ -32,10 +33,10 @@ def amounts(level, sizes, shares, most):
     return {s: min(most[s] * sizes[s], shares[s] * level) if sizes.get(s) else 0.0 for s in shares}
 
 
-def test_water_filling(spark):
+def test_water_filling(spark, monkeypatch):
     def filled(sizes, shares, most, total):
         table = spark.createDataFrame([(shares[s], most[s], sizes.get(s, 0)) for s in shares], "share double, most int, size long")
-        return amounts(water_level(table, total), sizes, shares, most)
+        return amounts(water_level(table, total)[0], sizes, shares, most)
 
     sizes, shares, most = {"a": 100, "b": 1_000, "c": 50}, {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 2, "b": 1, "c": 3}
     assert filled(sizes, shares, most, EXACT) == pytest.approx({"a": 200, "b": 160, "c": 40})
@@ -48,6 +49,7 @@ def test_water_filling(spark):
     assert filled({}, {"a": 1.0}, {"a": 1}, CORPUS) == {"a": 0.0}
     rng = random.Random(4)
     for n in (3, 40, 2_000):  # no number of sources is too many
+        monkeypatch.setattr(mixture, "BROADCAST_SOURCES", 39)
         names = [f"s{i}" for i in range(n)]
         sizes, shares, most = {s: rng.randrange(1, 1_000) for s in names}, {s: rng.random() / n for s in names}, {s: rng.randrange(1, 5) for s in names}
         for total in (sum(sizes.values()), EXACT):
@@ -102,8 +104,6 @@ def test_another_seed_takes_others(spark):
 
 
 def test_very_many_sources_and_any_measure(spark, monkeypatch):
-    from tessera.llm import mixture
-
     monkeypatch.setattr(mixture, "BROADCAST_SOURCES", 10)
     data = [(i, f"s{i % 1_500}", "x" * (1 + i % 7), 0, "") for i in range(6_000)]
     targets = [(f"s{i}", 1 / 1_500, 1 + i % 3, 0) for i in range(1_500)]
