@@ -47,6 +47,7 @@ SEEN = (0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x08E2, 0x08E2), (
 COPIES, VARIANTS, MOST_HOT = 10_000, 512, 1_000
 
 _read: dict[int, str] = {}
+_made: dict[int, str | None] = {}
 
 
 def confusables(spark: SparkSession) -> dict[int, str]:
@@ -171,8 +172,10 @@ def _digests(table):
 
 
 def _table(spark: SparkSession):
-    """The table for every task: some thousand entries, whatever the documents are."""
-    return spark.sparkContext.broadcast(prototypes(confusables(spark)))
+    """The table for every task: some thousand entries, whatever the documents are. It is made once."""
+    if not _made:
+        _made.update(prototypes(confusables(spark)))
+    return spark.sparkContext.broadcast(_made)
 
 
 def consistent_forms(documents: DataFrame) -> DataFrame:
