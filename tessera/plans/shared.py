@@ -42,12 +42,6 @@ def _note(spark: SparkSession, at: str) -> None:
     _written.append(at)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame) -> DataFrame:
     """The same rows, written as a table in the shared folder, so that a lost executor costs no recomputation.
 
@@ -70,8 +64,10 @@ def share(spark: SparkSession, name: str, data: bytes) -> str:
         out = fs.create(part)
         out.write(bytearray(data))
         out.close()
-        fs.rename(part, path)
-        fs.deleteOnExit(path)
+        if fs.rename(part, path):
+            fs.deleteOnExit(path)
+        else:  # someone else put the same there
+            fs.delete(part, False)
     spark.sparkContext.addFile(str(path.toUri()) if path.toUri().getScheme() else str(fs.makeQualified(path)))
     return name
 
