@@ -5,12 +5,15 @@ Those over tables have plain SQL; those about models and records have the rows t
 
 from __future__ import annotations
 
+import shutil
 import sqlite3
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,14 +101,42 @@ def _sample_masked(spark: SparkSession, at: str) -> DataFrame:
     return sources.sample("crm", "contact", rows=25)
 
 
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def _database(spark: SparkSession, at: str) -> str:
+    """Nations as a table of a database, by the driver that Spark brings along; gives its address.
+
+    It is filled here and packed into the shared folder, to be read only, since one in memory would be another one in each
+    executor, and an unpacked one belongs to the process that opened it first.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(_DERBY)
+    with tempfile.TemporaryDirectory() as made:
+        held = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:directory:{made}/plant;create=true")
+        held.createStatement().execute("create table NATION (N_KEY int, R_KEY int)")
+        put = held.prepareStatement("insert into NATION values (?, ?)")
+        for r in read(spark, at, "nation").select("n_nationkey", "n_regionkey").collect():
+            for i, v in enumerate(r, 1):
+                put.setObject(i, v)
+            put.addBatch()
+        put.executeBatch()
+        held.close()
+        try:
+            jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:directory:{made}/plant;shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # that it is closed, which is told as an error
+                raise
+        return f"jdbc:derby:jar:({shutil.make_archive(str(_folder(spark) / 'plant'), 'zip', made, 'plant')})plant"
+
+
 @_query("database_aggregate", "select n_regionkey as region_key, count(*) as count, sum(n_nationkey) as sum_nation_key, max(n_nationkey) as max_nation_key from nation where n_nationkey >= 3 group by 1")
 def _database_aggregate(spark: SparkSession, at: str) -> DataFrame:
-    """Grouped by the database itself, one in this process's memory; 25 rows go in, whatever the scale."""
-    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    read(spark, at, "nation").select(F.col("n_nationkey").alias("N_KEY"), F.col("n_regionkey").alias("R_KEY")).write.jdbc(url, "NATION", properties={"driver": driver})
+    """Grouped by the database itself, which the executors open too; 25 rows go in, whatever the scale."""
+    url = _database(spark, at)
     nation = {"kind": "thing", "identity": "nation_key", "properties": {"nation_key": {"type": "number"}, "region_key": {"type": "number"}}, "sources": {"base": {"connection": "db", "table": "NATION", "fields": {"nation_key": "N_KEY", "region_key": "R_KEY"}, "unique": True}}}
     e = Engine(spark, {"object_types": {"nation": nation}})
-    e.sources.register("db", jdbc(spark, url, schema="APP", driver=driver), test=True)
+    e.sources.register("db", jdbc(spark, url, schema="APP", driver=_DERBY), test=True)
     return e.rows({"object": "nation", "filter": {"nation_key": {"gte": 3}}, "aggregate": {"group_by": ["region_key"], "metrics": [{"count": "*"}, {"sum": "nation_key"}, {"max": "nation_key"}]}})
 
 

@@ -103,7 +103,8 @@ def jdbc(spark: SparkSession, url: str, tables: Iterable[str] | None = None, *,
 
     The database itself is asked for its tables, keys, unique columns and comments. ``options`` connect (``driver``, ``user``,
     ``password``); give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` as ``read_options`` to read
-    in parallel. Tables are read through a catalog of the session, since only those push aggregates.
+    in parallel. Tables are read through a catalog of the session, since only those push aggregates. The driver and every
+    executor connect for themselves, so ``url`` must mean the same database to all of them; one in memory is each process's own.
     """
     catalog = f"tessera_{blake2b(url.encode(), digest_size=8).hexdigest()}"
     settings = {"": "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog", ".url": url, ".queryTimeout": str(timeout_s), ".pushDownAggregate": "true", ".pushDownLimit": "true", ".pushDownOffset": "true"}
